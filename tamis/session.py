@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +14,25 @@ from pyspark.sql import functions as F
 BLANKS = r"[\s\p{Z}\x{200B}-\x{200F}\x{FEFF}]"
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, unless their PYTHONPATH has it; once per application."""
+    root, application = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if application in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(application)
+    target = Path(tempfile.mkdtemp(prefix="tamis-code-")) / "tamis.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(root.glob("tamis/**/*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """A table of a directory of Parquet tables."""
+    ship_code(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
