@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamis.llm.addresses import same_places
 from tamis.llm.codepoints import consistent_names
 from tamis.llm.leakage import leaked_items
+from tamis.llm.mixing import actual_shares, mixture, sized_documents
 from tamis.llm.splitting import split_documents
-from tamis.session import table
+from tamis.session import checkpointed, table
 
 NAMES = {"client_entities": "client_company_name", "watchlist_entities": "primary_name"}
 
@@ -25,6 +27,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_consistent_names(spark, d).where("reasons <> ''").select("table_name", "id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of clients whose address and city denote the same building."""
+    pairs = same_places(table(spark, d, "exemple_clients_complet"))
+    return pairs.select(F.col("client_id_small").alias("client_small"), F.col("client_id_large").alias("client_large"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the evaluation items they contain."""
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -36,10 +44,21 @@ def p8_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("documents")).join(items, "item_id")
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with the times each is used."""
+    sized = checkpointed(sized_documents(table(spark, d, "documents")))
+    return mixture(sized, table(spark, d, "mixture_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the mixes."""
+    return actual_shares(p9_mixture(spark, d), table(spark, d, "mixture_targets"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of the oversized documents under every profile."""
     return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent_names, p8_found, p8_leaked_items, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_consistent_names, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
