@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamis.functions.similarity import assigned, edit_distance
-from tamis.session import clean_id
+from tamis.session import checkpointed, clean_id
 
 # Street types of four languages with their usual short forms.
 TYPES = {
@@ -225,24 +225,23 @@ def same_places(
     Equal readings are collapsed before anything is paired, so copies of an address, however many, are compared once; keys are paired
     only in the last join, which returns every pair, as asked for.
     """
-    parsed = rows.select(clean_id(key).alias("key"), F.col(address).alias("address"), F.col(city).alias("city")).where("key is not null").distinct()
-    texts = parsed.select("address", "city").distinct().withColumn("reading", F.explode(F.arrow_udf(_read, _READING)("address", "city")))
-    texts = texts.select("address", "city", "reading.*")
-    named = texts.groupBy("address", "city").agg(F.count("*").alias("ways"), F.first("town").alias("town"))
-    sure = parsed.join(named.where("ways = 1"), (parsed["address"].eqNullSafe(named["address"])) & (parsed["city"].eqNullSafe(named["city"])), "inner").select("town")
-    towns = main_spelling(sure.where("town <> ''").groupBy("town").agg(F.count("*").alias("n")))
-    located = texts.join(towns, "town", "left")
-    counted = sure.join(towns, "town").groupBy(F.col("main").alias("counted_main")).agg(F.count("*").alias("weight"))
-    located = located.join(counted, F.col("main") == F.col("counted_main"), "left")
-    best = Window.partitionBy("address", "city").orderBy(F.desc_nulls_last("weight"), F.size("name"), "town")
-    located = located.withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank", "counted_main", "weight")
+    marked = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c)), F.lit("-"))
+    parsed = rows.select(clean_id(key).alias("key"), F.col(address).alias("address"), F.col(city).alias("city")).where("key is not null")
+    parsed = parsed.withColumn("written", F.unhex(F.md5(F.concat(marked("address"), F.lit("\n"), marked("city"))))).distinct()
+    writers = parsed.select("key", "written")
+    read = parsed.groupBy("written").agg(F.first(F.struct("address", "city")).alias("a")).select("written", F.arrow_udf(_read, _READING)("a.address", "a.city").alias("ways"))
+    read = checkpointed(read.select("written", F.size("ways").alias("ways"), F.inline("ways")))
+    sure = read.where("ways = 1 and town <> ''").join(writers, "written").groupBy("town").agg(F.count("*").alias("n"))
+    towns = main_spelling(sure).join(sure, "town")
+    towns = towns.join(towns.groupBy("main").agg(F.sum("n").alias("weight")), "main").select("town", "main", "weight")
+    best = Window.partitionBy("written").orderBy(F.desc_nulls_last("weight"), F.size("name"), "town")
+    located = read.join(towns, "town", "left").withColumn("rank", F.row_number().over(best)).where("rank = 1")
     codes = located.where("code <> '' and main is not null").groupBy("code").agg(F.min("main").alias("low"), F.max("main").alias("high")).where("low = high").select("code", F.col("low").alias("by_code"))
-    located = located.join(codes, "code", "left").withColumn("place", F.coalesce("main", "by_code")).drop("code", "by_code", "main", "town")
+    located = located.join(codes, "code", "left").withColumn("place", F.coalesce("main", "by_code"))
     shape = ["number", "place", "kind", "marks", "name", *(["unit"] if veto_units else [])]
-    forms = located.select(*shape, F.xxhash64(*shape).alias("form")).distinct()
-    owners = located.join(parsed, (located["address"].eqNullSafe(parsed["address"])) & (located["city"].eqNullSafe(parsed["city"])), "inner").select(
-        "key", F.xxhash64(*shape).alias("form")
-    ).distinct()
+    located = checkpointed(located.select("written", *shape, F.xxhash64(*shape).alias("form")))
+    forms = located.drop("written").dropDuplicates(["form"])
+    owners = located.select("written", "form").join(writers, "written").select("key", "form").distinct()
 
     indexed = forms.select("form", "number", "place", F.struct("kind", "marks", "name").alias("street"), *(["unit"] if veto_units else []),
                            F.explode(F.arrow_udf(_keys, "array<string>")("name")).alias("k"))
@@ -259,8 +258,8 @@ def same_places(
     loose = verified(a.where("a_place is null").join(b.where("b_place is not null"), (F.col("a_number") == F.col("b_number")) & (F.col("a_k") == F.col("b_k"))))
     only = loose.groupBy("a_form").agg(F.countDistinct("b_place").alias("places")).where("places = 1").select("a_form")
     edges = known.select("a_form", "b_form").unionByName(loose.join(only, "a_form", "left_semi").select("a_form", "b_form"))
-    same_form = owners.where(F.col("form").isNotNull()).join(forms.where("place is not null").select("form"), "form", "left_semi")
-    links = edges.select("a_form", "b_form").unionByName(same_form.select(F.col("form").alias("a_form"), F.col("form").alias("b_form")).distinct())
+    alike = forms.where("place is not null").select(F.col("form").alias("a_form"), F.col("form").alias("b_form"))
+    links = edges.unionByName(alike)
     x = owners.select(F.col("key").alias("x"), F.col("form").alias("a_form"))
     y = owners.select(F.col("key").alias("y"), F.col("form").alias("b_form"))
     pairs = links.join(x, "a_form").join(y, "b_form").where("x <> y")

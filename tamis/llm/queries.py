@@ -10,11 +10,17 @@ from tamis.llm.codepoints import consistent_names
 from tamis.llm.leakage import leaked_items
 from tamis.llm.mixing import actual_shares, mixture, sized_documents
 from tamis.llm.splitting import split_documents
+from tamis.llm.variants import name_variants
 from tamis.session import checkpointed, table
 
 NAMES = {"client_entities": "client_company_name", "watchlist_entities": "primary_name"}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of ids of one universe that mean one party."""
+    return name_variants(table(spark, d, "client_entities"), table(spark, d, "watchlist_entities"))
+
+
 def p3_consistent_names(spark: SparkSession, d: str) -> DataFrame:
     """Every name of both tables in its consistent form."""
     parts = [consistent_names(table(spark, d, t), c).withColumn("table_name", F.lit(t)) for t, c in NAMES.items()]
@@ -60,5 +66,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent_names, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent_names, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
