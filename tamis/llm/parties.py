@@ -25,8 +25,11 @@ from tamis.session import checkpointed, clean_id
 
 CLIENT, LISTED = "C", "L"
 Q = 3
-#: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year, no date.
-SHARES = {"date": 0.4, "slip": 0.75, "year": 0.6, "none": 0.7}
+#: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year, no date
+#: but a common country, neither; and of the rare tokens of a company.
+SHARES = {"date": 0.4, "slip": 0.8, "year": 0.65, "country": 0.75, "name": 0.85, "company": 0.6}
+#: Common q-grams that a pair must show in the prefixes; a key of two q-grams counts as two.
+EVIDENCE = 2
 #: A token in at least this part of the parties has its frequency as weight; there are at most (tokens per name) / part such tokens.
 COMMON = 0.001
 
@@ -231,83 +234,153 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def _prefix(ordered: list[str], share: float, more: int = 1) -> list[str]:
-    """The rarest q-grams among which any set with that share of common q-grams has at least `more`."""
-    return ordered[: len(ordered) - math.ceil(share * len(ordered) - 1e-9) + more]
-
-
-def keys_of(kind: str, names: list[str], dates: list[str], ranks: dict[str, int], strong: bool) -> set[int]:
-    """Join keys of a party: strong ones for parties that both have a full date, weak ones for the rest."""
-    keys: set[int] = set()
-    last = len(ranks)
-    for name in names:
-        ordered = sorted(grams(name), key=lambda g: (ranks.get(g, last), g))
-        if kind != "P":
-            if not strong:
-                for pair in itertools.combinations(sorted(_prefix(ordered, SHARES["none"], 2)), 2):
-                    keys.add(_hash(kind, *pair))
-            continue
-        for d in dates:
-            y, m, day = d[:4], d[4:6], d[6:]
-            if strong and day != "00":
-                both = "".join(sorted((m, day)))
-                keys.update(_hash("D", y, both, g) for g in _prefix(ordered, SHARES["date"]))
-                for g in _prefix(ordered, SHARES["slip"]):
-                    keys.update((_hash("M", y, m, g), _hash("T", y, day, g), _hash("B", m, day, g)))
-            elif not strong:
-                keys.update(_hash("Y", y, g) for g in _prefix(ordered, SHARES["year"]))
-        if not strong:
-            keys.update(_hash("N", *pair) for pair in itertools.combinations(sorted(_prefix(ordered, SHARES["none"], 2)), 2))
-    return keys
+def _prefix(ordered: list[str], share: float) -> list[str]:
+    """The rarest q-grams, of which any set with that share of common q-grams has at least EVIDENCE."""
+    return ordered[: len(ordered) - math.ceil(share * len(ordered) - 1e-9) + EVIDENCE]
+
+
+def _pairs(ordered: list[str], share: float) -> list[tuple[str, str]]:
+    return list(itertools.combinations(sorted(_prefix(ordered, share)), 2))
+
+
+class Keys:
+    """Join keys of parties, from the ranks of all q-grams and the common tokens."""
+
+    def __init__(self, ranks: dict[str, int], common: set[str]):
+        self.ranks, self.last = ranks, len(ranks)
+        self.common = {t for t in common if len(t) > 3}
+        self.near = {k: t for t in sorted(self.common) if len(t) > 5 for k in self._cut(t)}
+
+    @staticmethod
+    def _cut(token: str) -> set[str]:
+        return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
+
+    def ordered(self, name: str) -> list[str]:
+        return sorted(grams(name), key=lambda g: (self.ranks.get(g, self.last), g))
+
+    def head(self, token: str) -> str | None:
+        """The first letters of the common token that a token is, perhaps with a slip or cut short; None for rare tokens."""
+        if token in self.common:
+            return token[:3]
+        if len(token) > 5:
+            for k in sorted(self._cut(token)):
+                if k in self.near:
+                    return self.near[k][:3]
+        return token[:3] if 3 <= len(token) <= 7 and any(t.startswith(token) for t in self.common) else None
+
+    def strong(self, names: list[str], dates: list[str]) -> set[int]:
+        """Keys of a person for each full date: date and q-gram, and two parts of the date and q-gram for slips."""
+        keys: set[int] = set()
+        for name in names:
+            ordered = self.ordered(name)
+            for d in dates:
+                y, m, day = d[:4], d[4:6], d[6:]
+                if day != "00":
+                    both = "".join(sorted((m, day)))
+                    keys.update(_hash("D", y, both, g) for g in _prefix(ordered, SHARES["date"]))
+                    for g in _prefix(ordered, SHARES["slip"]):
+                        keys.update((_hash("M", y, m, g), _hash("T", y, day, g), _hash("B", m, day, g)))
+        return keys
+
+    def years(self, names: list[str], dates: list[str]) -> set[int]:
+        return {_hash("Y", y, g) for name in names for y in {d[:4] for d in dates} for g in _prefix(self.ordered(name), SHARES["year"])}
+
+    def undated(self, names: list[str], countries: list[str], asking: bool) -> set[int]:
+        """Keys of two q-grams: with each country, or, where one side states none, alone."""
+        keys: set[int] = set()
+        for name in names:
+            ordered = self.ordered(name)
+            for pair in _pairs(ordered, SHARES["country"]):
+                keys.update(_hash("C", c, *pair) for c in countries)
+            for pair in _pairs(ordered, SHARES["name"]):
+                if asking:
+                    keys.add(_hash("U", *pair))
+                    if not countries:
+                        keys.add(_hash("V", *pair))
+                else:
+                    keys.add(_hash("V" if countries else "U", *pair))
+        return keys
+
+    def company(self, kind: str, names: list[str]) -> set[int]:
+        """Keys of two q-grams of the rare tokens, with the heads of the common ones."""
+        keys: set[int] = set()
+        for name in names:
+            tokens = [t for t in name.split() if t not in LINKS and t[0] != "#"]
+            heads = [self.head(t) for t in tokens]
+            rare = [t for t, h in zip(tokens, heads) if h is None] or tokens
+            around = " ".join(sorted(h for h in heads if h))
+            keys.update(_hash(kind, around, *pair) for pair in _pairs(self.ordered(" ".join(rare)), SHARES["company"]))
+        return keys
 
 
 def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
-    """(a, b): pairs of classes that share a key; within one universe, or across both (a a client, b listed).
+    """(a, b): pairs of classes with common q-grams in their prefixes; within one universe, or across both (a a client, b listed).
 
-    Weak keys are made by all, but pair only with the few parties that lack a full date (or are no persons), so common
-    names of people with known dates never meet without their dates.
+    Persons with full dates meet by date and q-gram. Only the few without pair by year or country with all others, so common names
+    of people with known dates never meet without their dates. Companies meet by their rare tokens beside equal common ones.
     """
     spark = classes.sparkSession
-    ranks = spark.sparkContext.broadcast(gram_ranks(classes))
+    shared = spark.sparkContext.broadcast((gram_ranks(classes), set(token_weights(classes)[0])))
 
-    def keyed(rows: DataFrame, strong: bool) -> DataFrame:
+    def keyed(rows: DataFrame, family: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            make = Keys(*shared.value)
             for batch in batches:
-                ids, universes = [], []
+                ids: list[int] = []
                 keys: list[int] = []
-                for c, u, kind, names, dates in zip(*(x.to_pylist() for x in batch.columns)):
-                    own = keys_of(kind, names, dates, ranks.value, strong)
+                for c, kind, names, dates, countries in zip(*(x.to_pylist() for x in batch.columns)):
+                    if kind != "P":
+                        own = make.company(kind, names) if family == "company" else set()
+                    elif family == "strong":
+                        own = make.strong(names, dates)
+                    elif family == "year":
+                        own = make.years(names, dates)
+                    else:
+                        own = make.undated(names, countries, family == "asking")
                     keys.extend(own)
                     ids.extend([c] * len(own))
-                    universes.extend([u] * len(own))
                 if keys:
-                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(universes, pa.string())], names=["key", "class", "universe"])
+                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "class"])
 
-        return rows.select("class", "universe", "kind", "names", "dates").mapInArrow(run, "key bigint, class bigint, universe string")
+        return rows.select("class", "kind", "names", "dates", "countries").mapInArrow(run, "key bigint, class bigint")
 
-    incomplete = (F.col("kind") != "P") | (F.size(F.filter("dates", lambda d: ~d.endswith("00"))) == 0)
-    strong, weak, needy = keyed(classes, True), keyed(classes, False), keyed(classes.where(incomplete), False)
+    person = F.col("kind") == "P"
+    no_full = F.size(F.filter("dates", lambda d: ~d.endswith("00"))) == 0
+    universes = {u: classes.where(F.col("universe") == u) for u in (CLIENT, LISTED)}
+    evidence = []
 
-    def side(keys: DataFrame, name: str) -> DataFrame:
-        return keys.select("key", F.col("class").alias(name), F.col("universe").alias(f"{name}_universe"))
+    def meet(left: DataFrame, right: DataFrame, weight: int) -> None:
+        pairs = left.withColumnRenamed("class", "a").join(right.withColumnRenamed("class", "b"), "key").where("a <> b")
+        if not across:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        evidence.append(pairs.select("a", "b", F.lit(weight).alias("weight")))
 
-    def paired(left: DataFrame, right: DataFrame) -> DataFrame:
-        x, y = side(left, "a"), side(right, "b")
+    def turned(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
+
+    for x, y in [(CLIENT, LISTED)] if across else [(CLIENT, CLIENT), (LISTED, LISTED)]:
+        left, right = universes[x].where(person), universes[y].where(person)
         if across:
-            joined = x.join(y, "key").where("a_universe <> b_universe")
-            return joined.select(F.when(F.col("a_universe") == CLIENT, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a_universe") == CLIENT, F.col("b")).otherwise(F.col("a")).alias("b"))
-        joined = x.join(y, (x["key"] == y["key"]) & (x["a_universe"] == y["b_universe"]) & (x["a"] != y["b"]))
-        return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    if across:
-        clients, listed = F.col("universe") == CLIENT, F.col("universe") == LISTED
-        strongly = paired(strong.where(clients), strong.where(listed))
-        weakly = paired(needy.where(clients), weak.where(listed)).unionByName(paired(needy.where(listed), weak.where(clients)))
-    else:
-        x, y = side(strong, "a"), side(strong, "b")
-        strongly = x.join(y, (x["key"] == y["key"]) & (x["a_universe"] == y["b_universe"]) & (x["a"] < y["b"])).select("a", "b")
-        weakly = paired(needy, weak)
-    return strongly.unionByName(weakly).distinct()
+            meet(keyed(left, "strong"), keyed(right, "strong"), 1)
+        else:
+            own = keyed(left, "strong")
+            same = own.withColumnRenamed("class", "a").join(own.withColumnRenamed("class", "b"), "key").where("a < b")
+            evidence.append(same.select("a", "b", F.lit(1).alias("weight")))
+        for asked, flip in [(right, False), (left, True)][: 2 if across else 1]:
+            asking = (right if flip else left).where(no_full)
+            for ask, answer, weight in (("year", "year", 1), ("asking", "undated", 2)):
+                sides = (keyed(asking if ask == "asking" else asking.where("size(dates) > 0"), ask), keyed(asked if ask == "asking" else asked.where("size(dates) > 0"), answer))
+                meet(*sides, weight)
+                if flip:
+                    evidence[-1] = turned(evidence[-1])
+    if not across:
+        companies = keyed(universes[LISTED].where(~person), "company")
+        same = companies.withColumnRenamed("class", "a").join(companies.withColumnRenamed("class", "b"), "key").where("a < b")
+        evidence.append(same.select("a", "b", F.lit(2).alias("weight")))
+    everything = evidence[0]
+    for part in evidence[1:]:
+        everything = everything.unionByName(part)
+    return everything.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= EVIDENCE).select("a", "b")
 
 
 EQUAL, PARTLY, UNKNOWN, SLIP, DIFFERENT = 4, 3, 2, 1, 0
@@ -353,6 +426,10 @@ def numbers_agree(a: list[str], b: list[str]) -> int:
 
 def name_agreement(kind: str, a: list[str], b: list[str], weight) -> float:
     alike = person_likeness if kind == "P" else company_likeness
+    if kind != "P":  # a spelling may lack the legal form, but two parties' forms may not differ
+        forms_a, forms_b = ({t for n in names for t in n.split() if t[0] == "#"} for names in (a, b))
+        if forms_a and forms_b and not forms_a & forms_b:
+            return 0.0
     best = 0.0
     for x in a:
         for y in b:
@@ -362,29 +439,33 @@ def name_agreement(kind: str, a: list[str], b: list[str], weight) -> float:
     return best
 
 
-EVIDENCE = "struct<name:double,dates:int,countries:int,numbers:int>"
+@lru_cache(1 << 15)
+def _facts(text: str) -> list:
+    kind, *lists = text.split("|")
+    return [kind, *(x.split(";") if x else [] for x in lists)]
 
 
 def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, name, dates, countries, numbers) of candidate pairs whose stated facts do not exclude each other.
+    """(a, b, kind, name, dates, countries, numbers) of candidate pairs whose stated facts do not exclude each other.
 
-    Facts that exclude are tested before names are compared. Weights are by rarity over all classes.
+    Facts that exclude are tested before names are compared. Weights are by rarity over all classes. What is known of a
+    party travels as one short text, as it is moved once for every pair.
     """
     spark = classes.sparkSession
-    weights, rare = token_weights(classes)
-    shared = spark.sparkContext.broadcast((weights, rare))
-    left = classes.select([F.col(c).alias(c if c == "kind" else "a" if c == "class" else f"a_{c}") for c in classes.columns if c != "universe"])
-    right = classes.select([F.col(c).alias("kind_b" if c == "kind" else "b" if c == "class" else f"b_{c}") for c in classes.columns if c != "universe"])
+    shared = spark.sparkContext.broadcast(token_weights(classes))
+    joined = lambda c: F.array_join(c, ";")
+    facts = F.concat_ws("|", "kind", joined("names"), joined("dates"), joined("countries"), joined("numbers"))
+    known = classes.select("class", facts.alias("facts"))
     schema = [("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string()), ("name", pa.float64()), ("dates", pa.int32()), ("countries", pa.int32()), ("numbers", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other = shared.value
-        weight = lambda t: known.get(t, other)
+        weights, other = shared.value
+        weight = lambda t: weights.get(t, other)
         for batch in batches:
             rows = []
-            for a, b, kind, na, nb, da, db, ca, cb, ua, ub in zip(*(x.to_pylist() for x in batch.columns)):
-                dates, countries, numbers = dates_agree(da, db), sets_agree(ca, cb), numbers_agree(ua, ub)
-                if dates == DIFFERENT or numbers < 0:
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                (kind, na, da, ca, ua), (kind_b, nb, db, cb, ub) = _facts(x), _facts(y)
+                if kind != kind_b or (countries := sets_agree(ca, cb)) < 0 or (dates := dates_agree(da, db)) == DIFFERENT or (numbers := numbers_agree(ua, ub)) < 0:
                     continue
                 name = name_agreement(kind, na, nb, weight)
                 if name >= 0.5:
@@ -392,7 +473,6 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)], names=[n for n, _ in schema])
 
-    disjoint = (F.size("a_countries") > 0) & (F.size("b_countries") > 0) & ~F.arrays_overlap("a_countries", "b_countries")
-    facts = pairs.join(left, "a").join(right, "b").where((F.col("kind") == F.col("kind_b")) & ~disjoint)
-    columns = ["a", "b", "kind", *(f"{s}_{c}" for c in ("names", "dates", "countries", "numbers") for s in "ab")]
-    return facts.select(*columns).mapInArrow(run, "a bigint, b bigint, kind string, name double, dates int, countries int, numbers int")
+    left, right = known.select(F.col("class").alias("a"), F.col("facts").alias("x")), known.select(F.col("class").alias("b"), F.col("facts").alias("y"))
+    sides = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return sides.mapInArrow(run, "a bigint, b bigint, kind string, name double, dates int, countries int, numbers int")
