@@ -9,6 +9,7 @@ from tamis.llm.addresses import same_places
 from tamis.llm.codepoints import consistent_names
 from tamis.llm.leakage import leaked_items
 from tamis.llm.mixing import actual_shares, mixture, sized_documents
+from tamis.llm.resolution import MATCH, same_persons
 from tamis.llm.splitting import split_documents
 from tamis.llm.variants import name_variants
 from tamis.session import checkpointed, table
@@ -33,6 +34,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_consistent_names(spark, d).where("reasons <> ''").select("table_name", "id")
 
 
+def p5_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """Every candidate pair of a client and a listed individual with its marginal probability."""
+    pairs = same_persons(table(spark, d, "client_entities"), table(spark, d, "watchlist_entities"))
+    return pairs.select("client_id", "entity_id", F.round("probability", 4).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Clients and listed individuals who are the same person."""
+    pairs = same_persons(table(spark, d, "client_entities"), table(spark, d, "watchlist_entities"))
+    return pairs.where(F.col("probability") >= MATCH).select("client_id", "entity_id").distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of clients whose address and city denote the same building."""
     pairs = same_places(table(spark, d, "exemple_clients_complet"))
@@ -66,5 +79,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent_names, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent_names, p5_found, p5_confidences, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
 SQL: dict[str, str] = {}
