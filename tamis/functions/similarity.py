@@ -82,3 +82,62 @@ def assigned(costs: list[list[float]]) -> float:
             owner[j0] = owner[way[j0]]
             j0 = way[j0]
     return sum(costs[owner[j] - 1][j - 1] for j in range(1, columns + 1) if owner[j])
+
+
+def jaro(a: str, b: str) -> float:
+    """Jaro similarity 0 to 100; matches are taken from left to right within max(1, longest // 2 - 1)."""
+    if not a or not b:
+        return 100.0 if a == b else 0.0
+    if a == b:
+        return 100.0
+    reach = max(1, max(len(a), len(b)) // 2 - 1)
+    free, left = list(b), []
+    where = []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if free[j] == x:
+                free[j] = ""
+                left.append(x)
+                where.append(j)
+                break
+    m = len(left)
+    if not m:
+        return 0.0
+    right = [b[j] for j in sorted(where)]
+    swaps = sum(x != y for x, y in zip(left, right)) // 2
+    return 100.0 * (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Jaro similarity raised by a tenth of the rest for each of up to four equal first letters."""
+    base, same = jaro(a, b), 0
+    for x, y in zip(a[:4], b[:4]):
+        if x != y:
+            break
+        same += 1
+    return base + same * 0.1 * (100 - base)
+
+
+def edit_similarity(a: str, b: str) -> float:
+    """100 less the share of edits in the longer text."""
+    if a == b:
+        return 100.0
+    if not a or not b:
+        return 0.0
+    return (1 - edit_distance(a, b) / max(len(a), len(b))) * 100
+
+
+def token_sort(a: str, b: str) -> float:
+    return jaro_winkler(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def token_set(a: str, b: str) -> float:
+    """Best edit similarity among the common words and the two full word sets; of the texts as they are if none is common."""
+    if not a or not b:
+        return 0.0
+    x, y = set(a.split()), set(b.split())
+    common = " ".join(sorted(x & y))
+    if not common:
+        return edit_similarity(a, b)
+    one, two = (" ".join(filter(None, (common, " ".join(sorted(s - (x & y)))))) for s in (x, y))
+    return max(edit_similarity(common, one), edit_similarity(common, two), edit_similarity(one, two))

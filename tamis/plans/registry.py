@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tamis.plans import records
+from tamis.plans import desk, records, screening
 
-MODULES = (records,)
+MODULES = (records, desk, screening)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 FLAGSHIP = "p2_found"
