@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+
+@lru_cache(1 << 16)
+def _letters(text: str) -> int:
+    mask = 0
+    for c in text:
+        mask |= 1 << (ord(c) & 63)
+    return mask
+
 
 def edit_distance(a: str, b: str, most: int = 1 << 30) -> int:
     """Optimal string alignment distance (insert, delete, replace, swap of neighbours); most + 1 beyond most."""
     if a == b:
         return 0
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
     if len(a) > len(b):
         a, b = b, a
     if len(b) - len(a) > most:
         return most + 1
-    if not a:
+    if most < 8:  # every letter of one text alone costs an edit
+        x, y = _letters(a), _letters(b)
+        if (x & ~y).bit_count() > most or (y & ~x).bit_count() > most:
+            return most + 1
+    start, end = 0, len(a)
+    while start < end and a[start] == b[start]:
+        start += 1
+    shift = len(b) - len(a)
+    while end > start and a[end - 1] == b[end - 1 + shift]:
+        end -= 1
+    a, b = a[start:end], b[start : end + shift]
+    n = len(a)
+    if not n:
         return len(b)
+    far = most + 1
     older: list[int] = []
-    old = list(range(len(a) + 1))
-    for i, y in enumerate(b, 1):
-        row = [i]
-        for j, x in enumerate(a, 1):
+    old = list(range(n + 1))
+    for i in range(1, len(b) + 1):
+        y = b[i - 1]
+        low, high = max(1, i - most), min(n, i + most)  # cells farther from the diagonal exceed most
+        row = [far] * (n + 1)
+        row[0] = i
+        best = i if low == 1 else far
+        for j in range(low, high + 1):
+            x = a[j - 1]
             if x == y:
-                best = old[j - 1]
+                value = old[j - 1]
             else:
-                best = 1 + min(old[j - 1], old[j], row[j - 1])
-                if i > 1 and j > 1 and x == b[i - 2] and a[j - 2] == y:
-                    best = min(best, older[j - 2] + 1)
-            row.append(best)
-        if min(row) > most:
-            return most + 1
+                value = old[j - 1]
+                if old[j] < value:
+                    value = old[j]
+                if row[j - 1] < value:
+                    value = row[j - 1]
+                value += 1
+                if i > 1 and j > 1 and x == b[i - 2] and a[j - 2] == y and older[j - 2] + 1 < value:
+                    value = older[j - 2] + 1
+            row[j] = value
+            if value < best:
+                best = value
+        if best > most:
+            return far
         older, old = old, row
-    return min(old[-1], most + 1)
+    return min(old[n], far)
 
 
 def assigned(costs: list[list[float]]) -> float:
