@@ -20,16 +20,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.spelling import LINKS, company_likeness, person_likeness, spellings
+from tamis.llm.spelling import LINKS, NICKNAMES, company_likeness, person_likeness, shape_mask, sound, spellings
 from tamis.session import checkpointed, clean_id
 
 CLIENT, LISTED = "C", "L"
 Q = 3
 #: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year, no date
 #: but a common country, neither; and of the rare tokens of a company.
-SHARES = {"date": 0.4, "slip": 0.8, "year": 0.65, "country": 0.75, "name": 0.85, "company": 0.6}
+SHARES = {"date": 0.4, "slip": 0.85, "year": 0.6, "country": 0.75, "name": 0.85, "company": 0.6}
 #: Common q-grams that a pair must show in the prefixes; a key of two q-grams counts as two.
-EVIDENCE = 2
+EVIDENCE = 3
 #: A token in at least this part of the parties has its frequency as weight; there are at most (tokens per name) / part such tokens.
 COMMON = 0.001
 
@@ -42,7 +42,7 @@ COUNTRIES = {
 }
 _COUNTRY = {n: c for c, names in COUNTRIES.items() for n in names.replace("are united", "are,united").split(",")}
 
-PARTY = "universe string, kind string, names array<string>, dates array<string>, countries array<string>, numbers array<string>"
+PARTY = "universe string, kind string, names array<string>, masks array<string>, dates array<string>, countries array<string>, numbers array<string>"
 
 
 @lru_cache(1 << 14)
@@ -104,7 +104,8 @@ def _party(universe: str, kind: str, names: list[tuple[str, ...]], dates: set[st
         return None
     full = {d for d in dates if d and not d.endswith("00")}
     kept = full | {d for d in dates if d and d.endswith("00") and not any(f[:4] == d[:4] for f in full)}
-    return universe, kind, sorted(" ".join(n) for n in distinct.values()), sorted(kept), sorted(countries), sorted(numbers)
+    spelled = sorted(" ".join(n) for n in distinct.values())
+    return universe, kind, spelled, [f"{shape_mask(n):x}" for n in spelled], sorted(kept), sorted(countries), sorted(numbers)
 
 
 def _client(rows: list[dict]) -> tuple | None:
@@ -159,7 +160,7 @@ def _listed(rows: list[dict]) -> tuple | None:
 
 def _profiled(rows: DataFrame, build) -> DataFrame:
     """(ref, PARTY) of (ref, rows): one party per ref, from its distinct contents."""
-    kinds = [("universe", pa.string()), ("kind", pa.string()), *((n, pa.list_(pa.string())) for n in ("names", "dates", "countries", "numbers"))]
+    kinds = [("universe", pa.string()), ("kind", pa.string()), *((n, pa.list_(pa.string())) for n in ("names", "masks", "dates", "countries", "numbers"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,6 +240,11 @@ def _prefix(ordered: list[str], share: float) -> list[str]:
     return ordered[: len(ordered) - math.ceil(share * len(ordered) - 1e-9) + EVIDENCE]
 
 
+def initials(token: str) -> set[str]:
+    """First letter by sound of a word, and of the name it is short for."""
+    return {sound(t)[:1] for t in (token, NICKNAMES.get(token, token))}
+
+
 def _pairs(ordered: list[str], share: float) -> list[tuple[str, str]]:
     return list(itertools.combinations(sorted(_prefix(ordered, share)), 2))
 
@@ -286,19 +292,28 @@ class Keys:
         return {_hash("Y", y, g) for name in names for y in {d[:4] for d in dates} for g in _prefix(self.ordered(name), SHARES["year"])}
 
     def undated(self, names: list[str], countries: list[str], asking: bool) -> set[int]:
-        """Keys of two q-grams: with each country, or, where one side states none, alone."""
+        """Keys of a q-gram and the initial of another word: with each country, or, where one side states none, alone."""
         keys: set[int] = set()
         for name in names:
             ordered = self.ordered(name)
-            for pair in _pairs(ordered, SHARES["country"]):
-                keys.update(_hash("C", c, *pair) for c in countries)
-            for pair in _pairs(ordered, SHARES["name"]):
-                if asking:
-                    keys.add(_hash("U", *pair))
-                    if not countries:
-                        keys.add(_hash("V", *pair))
-                else:
-                    keys.add(_hash("V" if countries else "U", *pair))
+            tokens = [t for t in name.split() if t not in LINKS] or name.split()
+            first = [initials(t) for t in tokens]
+            nearly, equal = _prefix(ordered, SHARES["country"]), _prefix(ordered, SHARES["name"])
+            for i, t in enumerate(tokens):
+                own = grams(t)
+                others = {x for j, letters in enumerate(first) if j != i for x in letters}
+                for x in others:
+                    for g in nearly:
+                        if g in own:
+                            keys.update(_hash("C", c, x, g) for c in countries)
+                    for g in equal:
+                        if g in own:
+                            if asking:
+                                keys.add(_hash("U", x, g))
+                                if not countries:
+                                    keys.add(_hash("V", x, g))
+                            else:
+                                keys.add(_hash("V" if countries else "U", x, g))
         return keys
 
     def company(self, kind: str, names: list[str]) -> set[int]:
@@ -345,6 +360,7 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
         return rows.select("class", "kind", "names", "dates", "countries").mapInArrow(run, "key bigint, class bigint")
 
     person = F.col("kind") == "P"
+    dated = F.size("dates") > 0
     no_full = F.size(F.filter("dates", lambda d: ~d.endswith("00"))) == 0
     universes = {u: classes.where(F.col("universe") == u) for u in (CLIENT, LISTED)}
     evidence = []
@@ -367,10 +383,10 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
             same = own.withColumnRenamed("class", "a").join(own.withColumnRenamed("class", "b"), "key").where("a < b")
             evidence.append(same.select("a", "b", F.lit(1).alias("weight")))
         for asked, flip in [(right, False), (left, True)][: 2 if across else 1]:
-            asking = (right if flip else left).where(no_full)
-            for ask, answer, weight in (("year", "year", 1), ("asking", "undated", 2)):
-                sides = (keyed(asking if ask == "asking" else asking.where("size(dates) > 0"), ask), keyed(asked if ask == "asking" else asked.where("size(dates) > 0"), answer))
-                meet(*sides, weight)
+            asking = right if flip else left
+            # A party without a full date meets those of its year; one without any date meets all.
+            for ask, answer, who, whom in (("year", "year", no_full & dated, dated), ("asking", "undated", ~dated, F.lit(True))):
+                meet(keyed(asking.where(who), ask), keyed(asked.where(whom), answer), 1)
                 if flip:
                     evidence[-1] = turned(evidence[-1])
     if not across:
@@ -424,25 +440,35 @@ def numbers_agree(a: list[str], b: list[str]) -> int:
     return -1 if kinds else 0
 
 
-def name_agreement(kind: str, a: list[str], b: list[str], weight) -> float:
+def name_agreement(kind: str, a: list[str], b: list[str], weight, masks: tuple[list[int], list[int]] | None = None) -> float:
+    """Best likeness of any two spellings. masks of their letter pairs, if given, rule out most at once."""
     alike = person_likeness if kind == "P" else company_likeness
     if kind != "P":  # a spelling may lack the legal form, but two parties' forms may not differ
         forms_a, forms_b = ({t for n in names for t in n.split() if t[0] == "#"} for names in (a, b))
         if forms_a and forms_b and not forms_a & forms_b:
             return 0.0
     best = 0.0
-    for x in a:
-        for y in b:
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if masks:
+                m, n = masks[0][i], masks[1][j]
+                if (m & n).bit_count() < NEAR * min(m.bit_count(), n.bit_count()):
+                    continue
             best = max(best, alike(tuple(x.split()), tuple(y.split()), weight))
             if best >= 0.995:
                 return best
     return best
 
 
+#: Least share of common letter pairs, of the shorter spelling, for two spellings to be compared at all.
+NEAR = 0.34
+
+
 @lru_cache(1 << 15)
 def _facts(text: str) -> list:
     kind, *lists = text.split("|")
-    return [kind, *(x.split(";") if x else [] for x in lists)]
+    names, masks, *others = (x.split(";") if x else [] for x in lists)
+    return [kind, names, [int(m, 16) for m in masks], *others]
 
 
 def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -454,7 +480,7 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(token_weights(classes))
     joined = lambda c: F.array_join(c, ";")
-    facts = F.concat_ws("|", "kind", joined("names"), joined("dates"), joined("countries"), joined("numbers"))
+    facts = F.concat_ws("|", "kind", joined("names"), joined("masks"), joined("dates"), joined("countries"), joined("numbers"))
     known = classes.select("class", facts.alias("facts"))
     schema = [("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string()), ("name", pa.float64()), ("dates", pa.int32()), ("countries", pa.int32()), ("numbers", pa.int32())]
 
@@ -464,10 +490,10 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                (kind, na, da, ca, ua), (kind_b, nb, db, cb, ub) = _facts(x), _facts(y)
+                (kind, na, ma, da, ca, ua), (kind_b, nb, mb, db, cb, ub) = _facts(x), _facts(y)
                 if kind != kind_b or (countries := sets_agree(ca, cb)) < 0 or (dates := dates_agree(da, db)) == DIFFERENT or (numbers := numbers_agree(ua, ub)) < 0:
                     continue
-                name = name_agreement(kind, na, nb, weight)
+                name = name_agreement(kind, na, nb, weight, (ma, mb))
                 if name >= 0.5:
                     rows.append((a, b, kind, name, dates, countries, numbers))
             if rows:

@@ -134,10 +134,15 @@ def _shape(tokens: tuple[str, ...]) -> frozenset[str]:
     return frozenset(sound(t)[i : i + 2] for t in tokens if t[0] != "#" for i in range(len(sound(t)) - 1)) or frozenset(s)
 
 
-def far_apart(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    """Whether two names have too few letter pairs in common to be spellings of one; cheap, before any alignment."""
-    x, y = _shape(a), _shape(b)
-    return len(x & y) < 0.34 * min(len(x), len(y))
+def shape_mask(name: str) -> int:
+    """The letter pairs of a name by sound, as bits of a number; equal pairs have equal bits everywhere."""
+    mask = 0
+    for pair in _shape(tuple(name.split())):
+        code = 0
+        for c in pair:
+            code = code * 131 + ord(c)
+        mask |= 1 << code % 251
+    return mask
 
 
 def _core(tokens: tuple[str, ...]) -> list[str]:
@@ -157,15 +162,13 @@ def person_likeness(a: tuple[str, ...], b: tuple[str, ...], weight) -> float:
     """
     if set(a) == set(b) and len(a) > 1:
         return 1.0
-    if far_apart(a, b):
-        return 0.0
     best = _aligned(a, b, weight)
     if best < 0.8:
         # A blank typed into a word or left out between two.
         for x, y in ((a, b), (b, a)):
             for i in range(len(x) - 1):
                 glued = x[i] + x[i + 1]
-                if any(abs(len(glued) - len(t)) <= 2 and _typed(glued, t) >= 0.7 for t in y):
+                if any(abs(len(glued) - len(t)) <= 2 and (glued[0] == t[0] or glued[-2:] == t[-2:]) and _typed(glued, t) >= 0.7 for t in y):
                     best = max(best, _aligned((*x[:i], glued, *x[i + 2 :]), y, weight, glued) - 0.04)
     return best
 
@@ -197,7 +200,7 @@ def company_likeness(a: tuple[str, ...], b: tuple[str, ...], weight) -> float:
     x, y = ([t for t in s if t[0] != "#" and t not in LINKS] for s in (a, b))
     if sorted(x) == sorted(y) and x:
         return 1.0
-    if not x or not y or far_apart(a, b):
+    if not x or not y:
         return 0.0
     if sorted(t for t in x if t.isdigit()) != sorted(t for t in y if t.isdigit()):
         return 0.0
