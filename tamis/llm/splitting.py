@@ -80,7 +80,7 @@ def pieces(text: str, limit: int, overlap: int, path: str = VOCABULARY, parsed:
     t = parsed or _Text(text, path)
     if t.tokens <= limit:
         return
-    begin, hard_begin, covered = 0, False, 0
+    begin, hard_begin, covered, covered_hard = 0, False, 0, False
     while True:
         if t.tokens - begin <= limit and not hard_begin:
             yield begin, t.tokens, t.tokens - begin, "end", t.between(begin, t.tokens)
@@ -95,10 +95,13 @@ def pieces(text: str, limit: int, overlap: int, path: str = VOCABULARY, parsed:
             room = min(room - 1, end - begin - 1) if end - begin > 1 else 0
             if room < 1:
                 break
+        if end <= covered:  # nothing new fits behind the overlap: go on without it
+            begin, hard_begin = covered, covered_hard
+            continue
         yield begin, end, size, cut, content
         if end == t.tokens:
             return
-        covered = end
+        covered, covered_hard = end, cut == HARD
         following, hard_begin = end, cut == HARD
         if overlap:
             back = end - overlap
@@ -122,7 +125,8 @@ def split_documents(
     limits: (profile_name, max_tokens, overlap_tokens), a few rows. Only texts beyond max_tokens of a profile
     appear under it; null and empty texts never do. Every piece has at most max_tokens tokens by itself and the
     pieces cover the text without a gap: piece i+1 begins at or before the end of piece i, at least
-    overlap_tokens back (more by less than one word at a natural place) and exactly at its end if there is no overlap.
+    overlap_tokens back (more by less than one word at a natural place) and exactly at its end if there is no overlap or
+    nothing new would fit behind it.
     A single character that has more tokens than the limit stays whole. A profile without a limit or with a
     limit below 1 is ignored; an overlap that is null counts as 0, one as large as the limit as half of it.
     Repeated documents give repeated pieces. No shuffle: a text is tokenized once for all profiles where it lies.
