@@ -135,11 +135,10 @@ def consistent_texts(texts: DataFrame) -> DataFrame:
         .withColumn("west", F.max(F.col("ch").rlike(r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]")).over(of_piece))
         .withColumn("segment", F.sum(F.col("ch").isin("(", ")", "（", "）", "[", "]", "/").cast("int")).over(upto))
     )
-    kept = F.col("cjk") & (F.col("reason") == "width") | F.col("cjk") & (F.col("ch") == "　") | ~F.col("west") & F.col("ch").isin(*_JOINERS)
-    chars = chars.withColumn("reason", F.when(~F.coalesce(kept, F.lit(False)), F.col("reason"))).withColumn(
-        "parts",
-        F.when(F.col("parts").isNull() | F.coalesce(kept, F.lit(False)), F.array(F.struct(F.col("ch"), F.lit(0).alias("ccc")))).otherwise(F.col("parts")),
-    )
+    kept = F.col("cjk") & ((F.col("reason") == WIDTH) | (F.col("ch") == "　")) | ~F.col("west") & F.col("ch").isin(*_JOINERS)
+    chars = chars.withColumn("kept", F.coalesce(kept, F.lit(False)))
+    itself = F.array(F.struct(F.col("ch"), F.lit(0).alias("ccc")))
+    chars = chars.withColumn("parts", F.when(F.col("parts").isNull() | F.col("kept"), itself).otherwise(F.col("parts"))).withColumn("reason", F.when(~F.col("kept"), F.col("reason")))
     # An invisible character keeps a row without a character, so that its reason is not lost.
     marks = chars.select("key", "piece", "segment", "at", "reason", F.posexplode_outer("parts").alias("k", "part")).select(
         "key", "piece", "segment", "at", F.coalesce("k", F.lit(0)).alias("k"), "reason", F.col("part.ch").alias("ch"), F.coalesce("part.ccc", F.lit(0)).alias("ccc")

@@ -17,7 +17,7 @@ from tamis.llm.tokens import VOCABULARY, encoding, token_count
 from tamis.llm.words import Words
 
 CASES = {
-    "Ｗａｌｉｄ": ("Walid", "width"), "ﬁrst": ("first", "width"), "K": ("K", "width"), "Édouard": ("Édouard", "accent"), "A​b": ("Ab", "invisible"), "a­b": ("ab", "invisible"),
+    "Ｗａｌｉｄ": ("Walid", "width"), "ﬁrst": ("first", "width"), "\u212a": ("K", "width"), "Édouard": ("Édouard", "accent"), "A​b": ("Ab", "invisible"), "a­b": ("ab", "invisible"),
     "a b": ("a b", "blank"), "a b‎": ("a b", "blank,invisible"), "Rаfael": ("Rafael", "foreign"), "Αl-Sad": ("Al-Sad", "foreign"), "Foods 29 ЅА": ("Foods 29 SA", "foreign"),
     "Иванов": ("Иванов", ""), "Μακαρ Νεωρ": ("Μακαρ Νεωρ", ""), "Веин (WEIN SA)": ("Веин (WEIN SA)", ""), "Ćirić": ("Ćirić", ""), "plain": ("plain", ""), "": ("", ""), "宁海（中国）": ("宁海（中国）", ""),
     "ệ": ("ệ", "accent"), "q̇": ("q̇", ""), "Сoра": ("Сора", "foreign"), "ĭ́x": ("ĭ́x".replace("ĭ", "ĭ"), "accent"),
