@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.llm.addresses import same_places
-from tamis.llm.codepoints import consistent_names
+from tamis.llm.codepoints import CYRILLIC, GREEK, LOOSE, consistent_names
 from tamis.llm.leakage import leaked_items
 from tamis.llm.mixing import actual_shares, mixture, sized_documents
 from tamis.llm.resolution import MATCH, same_persons
@@ -80,4 +80,23 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent_names, p5_found, p5_confidences, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
-SQL: dict[str, str] = {}
+_STRICT = "".join(c for c in [*CYRILLIC, *GREEK] if c not in LOOSE)
+_NAMES_SQL = "SELECT 'client_entities' AS table_name, id, client_company_name AS n FROM client_entities UNION ALL SELECT 'watchlist_entities', id, primary_name FROM watchlist_entities"
+
+
+def _grams(table_name: str, key: str, text: str) -> str:
+    """Runs of twelve words of every text, as a SQL query."""
+    words = f"regexp_extract_all(replace(lower(strip_accents({text})), 'ß', 'ss'), '[\\p{{L}}\\p{{Nd}}]+')"
+    return f"""SELECT {key}, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS gram
+        FROM (SELECT {key}, {words} AS w FROM {table_name}) WHERE len(w) >= 12"""
+
+
+SQL: dict[str, str] = {
+    "p3_found": rf"""WITH names AS ({_NAMES_SQL}) SELECT table_name, id FROM names
+        WHERE regexp_matches(n, '[\x{{FF01}}-\x{{FF5E}}\x{{FB00}}-\x{{FB06}}\x{{212A}}]') AND NOT regexp_matches(n, '\p{{Han}}') OR n <> nfc_normalize(n)
+          OR regexp_matches(n, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}]|[\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}]')
+          OR regexp_matches(n, '\p{{Latin}}[\p{{M}}\p{{Cf}}]*[\p{{Cyrillic}}\p{{Greek}}]|[\p{{Cyrillic}}\p{{Greek}}][\p{{M}}\p{{Cf}}]*\p{{Latin}}')
+          OR len(list_filter(string_split_regex(n, '[()]'), lambda s: regexp_matches(s, '\p{{Latin}}') AND regexp_matches(s, '[{_STRICT}]') AND NOT regexp_matches(regexp_replace(s, '[{_STRICT}]', '', 'g'), '[\p{{Cyrillic}}\p{{Greek}}]'))) > 0""",
+    "p8_found": f"WITH d AS ({_grams('documents', 'doc_id', 'text')}), i AS ({_grams('eval_items', 'item_id', 'passage')}) SELECT DISTINCT doc_id, item_id FROM d JOIN (SELECT DISTINCT * FROM i) USING (gram)",
+}
+SQL["p8_leaked_items"] = f"WITH found AS ({SQL['p8_found']}) SELECT item_id, count(*) AS documents, any_value(suite) AS suite FROM found JOIN eval_items USING (item_id) GROUP BY item_id"
