@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamis.operators.history import journal_changes, merge_history, stamped
-from tamis.operators.nested import node_table, text_items
+from tamis.operators.nested import SHAPES, node_table, text_items
 from tamis.operators.snapshot_cells import delivery_chain, snapshot_changes
 from tamis.session import clean_id, table
 
@@ -106,7 +106,23 @@ history AS (
   FROM begun WINDOW w AS (PARTITION BY entity_id, field ORDER BY changed_at NULLS FIRST)
 )"""
 
+
+
+def _items_sql(column: str, shape: dict) -> str:
+    """Text items of one nested column of the rows in production."""
+    branches, inside = "|".join(shape["branches"]), "|".join(shape["inside"])
+    step = r"(\[[0-9]+\]" + (rf"|\.({inside})" if inside else "") + ")*"
+    pattern = rf"^\${step}(\.({branches}){step}){'?' if shape['plain'] else ''}$"
+    inner = f"json_extract_string({column}::JSON, '$')"
+    document = f"CASE WHEN json_valid({column}) THEN CASE WHEN json_type({column}::JSON) = 'VARCHAR' AND json_valid({inner}) THEN {inner} ELSE {column} END END"
+    return f"""SELECT id, '{column}' || CASE WHEN b = '' THEN '' ELSE '.' || b END AS branch, CAST(row_number() OVER (PARTITION BY id, b ORDER BY node) AS INTEGER) AS item_no, item_value FROM (
+        SELECT r.id, t.id AS node, regexp_extract(t.fullkey, '({branches})') AS b, json_extract_string(t.atom, '$') AS item_value
+        FROM (SELECT id, CAST({document} AS JSON) AS doc FROM ready) r, json_tree(r.doc) t WHERE t.type = 'VARCHAR' AND regexp_matches(t.fullkey, '{pattern}')) WHERE trim(item_value) <> ''"""
+
+
 SQL = {
+    "p4_found": f"WITH ready AS (SELECT * FROM watchlist_entities WHERE {_TRIM.format('snapshot_id')} IN (SELECT {_TRIM.format('snapshot_id')} FROM snapshots WHERE status = 'READY')) "
+    + " UNION ALL ".join(_items_sql(c, shape) for c, shape in SHAPES.items()),
     "p2_found": f"""WITH {_CHAIN}
         SELECT c.sid AS snapshot_id, coalesce(b.eid, a.eid) AS entity_id,
                CASE WHEN a.eid IS NULL THEN 'added' WHEN b.eid IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
