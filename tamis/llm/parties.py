@@ -201,31 +201,45 @@ def grams(name: str) -> set[str]:
 
 
 def party_classes(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): parties with equal contents are one class, so copies are compared once."""
-    content = ["universe", "kind", "names", "dates", "countries", "numbers"]
-    kept = checkpointed(parties.withColumn("class", F.conv(F.substring(F.md5(F.to_json(F.struct(*content))), 1, 15), 16, 10).cast("bigint")))
+    """(classes, members): parties with equal contents are one class, so copies are compared once.
+
+    classes: class, universe, kind, facts (one text, as it is read and moved many times), dated (any date), full (a full date), year.
+    """
+    content = ["universe", "kind", "names", "masks", "dates", "countries", "numbers"]
+    joined = lambda c: F.array_join(c, ";")
+    facts = F.concat_ws("|", "kind", *(joined(c) for c in content[2:]))
+    kept = parties.withColumn("facts", facts).select(
+        "ref", "universe", "kind", "facts", (F.size("dates") > 0).alias("dated"), F.exists("dates", lambda d: ~d.endswith("00")).alias("full"),
+        F.substring(F.array_min("dates"), 1, 4).alias("year"), F.conv(F.substring(F.md5(F.concat("universe", "facts")), 1, 15), 16, 10).cast("bigint").alias("class"),
+    )
+    kept = checkpointed(kept)
     classes = checkpointed(kept.drop("ref").dropDuplicates(["class"]))
     return classes, kept.select("class", "universe", "ref")
 
 
+def names_of(facts: str) -> list[str]:
+    return facts.split("|", 2)[1].split(";")
+
+
 def gram_ranks(classes: DataFrame) -> dict[str, int]:
     """Rank of every q-gram by rarity over all classes. Their number is bounded by the alphabet to the power Q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
-            for names in batch.column(0).to_pylist():
-                counts.update(set().union(*map(grams, names)))
+            for facts in batch.column(0).to_pylist():
+                counts.update(set().union(*map(grams, names_of(facts))))
         if counts:
             yield pa.record_batch([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
-    totals = classes.select("names").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    totals = classes.select("facts").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     return {gram: i for i, (gram, _) in enumerate(sorted(totals.collect(), key=lambda r: (r[1], r[0])))}
 
 
 def token_weights(classes: DataFrame) -> tuple[dict[str, float], float]:
     """(weights of the common tokens, weight of all others): the logarithm of the inverse share of classes."""
-    tokens = classes.select("class", F.explode(F.array_distinct(F.flatten(F.transform("names", lambda n: F.split(n, " "))))).alias("token"))
+    words = F.split(F.get(F.split("facts", r"\|"), F.lit(1)), "[; ]")
+    tokens = classes.select(F.explode(F.array_distinct(words)).alias("token"))
     total = classes.count()
     common = tokens.groupBy("token").count().where(F.col("count") >= max(2.0, COMMON * total)).collect()
     return {t: max(0.5, math.log(total / n)) for t, n in common}, max(1.0, math.log(1 / max(COMMON, 2 / max(total, 2))))
@@ -253,7 +267,7 @@ class Keys:
     """Join keys of parties, from the ranks of all q-grams and the common tokens."""
 
     def __init__(self, ranks: dict[str, int], common: set[str]):
-        self.ranks, self.last = ranks, len(ranks)
+        self.ranks = ranks
         self.common = {t for t in common if len(t) > 3}
         self.near = {k: t for t in sorted(self.common) if len(t) > 5 for k in self._cut(t)}
 
@@ -262,7 +276,7 @@ class Keys:
         return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
 
     def ordered(self, name: str) -> list[str]:
-        return sorted(grams(name), key=lambda g: (self.ranks.get(g, self.last), g))
+        return sorted(grams(name), key=self.ranks.__getitem__)
 
     def head(self, token: str) -> str | None:
         """The first letters of the common token that a token is, perhaps with a slip or cut short; None for rare tokens."""
@@ -300,20 +314,14 @@ class Keys:
             first = [initials(t) for t in tokens]
             nearly, equal = _prefix(ordered, SHARES["country"]), _prefix(ordered, SHARES["name"])
             for i, t in enumerate(tokens):
-                own = grams(t)
-                others = {x for j, letters in enumerate(first) if j != i for x in letters}
-                for x in others:
-                    for g in nearly:
-                        if g in own:
-                            keys.update(_hash("C", c, x, g) for c in countries)
-                    for g in equal:
-                        if g in own:
-                            if asking:
-                                keys.add(_hash("U", x, g))
-                                if not countries:
-                                    keys.add(_hash("V", x, g))
-                            else:
-                                keys.add(_hash("V" if countries else "U", x, g))
+                own = {s[k : k + Q] for s in [f"^{t}$"] for k in range(len(s) - Q + 1)}
+                mine, strict = [g for g in nearly if g in own], [g for g in equal if g in own]
+                for x in {x for j, letters in enumerate(first) if j != i for x in letters}:
+                    keys.update(_hash("C", c, x, g) for g in mine for c in countries)
+                    if asking:
+                        keys.update(_hash("U", x, g) for g in strict)
+                    if not (asking and countries):
+                        keys.update(_hash("V" if asking or countries else "U", x, g) for g in strict)
         return keys
 
     def company(self, kind: str, names: list[str]) -> set[int]:
@@ -343,7 +351,9 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
             for batch in batches:
                 ids: list[int] = []
                 keys: list[int] = []
-                for c, kind, names, dates, countries in zip(*(x.to_pylist() for x in batch.columns)):
+                for c, facts in zip(*(x.to_pylist() for x in batch.columns)):
+                    kind, names, _, dates, countries, _ = (x.split(";") if x else [] for x in facts.split("|"))
+                    kind = kind[0]
                     if kind != "P":
                         own = make.company(kind, names) if family == "company" else set()
                     elif family == "strong":
@@ -357,11 +367,10 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
                 if keys:
                     yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "class"])
 
-        return rows.select("class", "kind", "names", "dates", "countries").mapInArrow(run, "key bigint, class bigint")
+        return rows.select("class", "facts").mapInArrow(run, "key bigint, class bigint")
 
     person = F.col("kind") == "P"
-    dated = F.size("dates") > 0
-    no_full = F.size(F.filter("dates", lambda d: ~d.endswith("00"))) == 0
+    dated, no_full = F.col("dated"), ~F.col("full")
     universes = {u: classes.where(F.col("universe") == u) for u in (CLIENT, LISTED)}
     evidence = []
 
@@ -479,9 +488,7 @@ def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast(token_weights(classes))
-    joined = lambda c: F.array_join(c, ";")
-    facts = F.concat_ws("|", "kind", joined("names"), joined("masks"), joined("dates"), joined("countries"), joined("numbers"))
-    known = classes.select("class", facts.alias("facts"))
+    known = classes.select("class", "facts")
     schema = [("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string()), ("name", pa.float64()), ("dates", pa.int32()), ("countries", pa.int32()), ("numbers", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -81,7 +81,7 @@ def same_persons(clients: DataFrame, entities: DataFrame) -> DataFrame:
     parties = client_parties(clients).unionByName(listed_parties(entities, individuals=True))
     classes, members = party_classes(parties)
     facts = compared(candidate_pairs(classes, across=True), classes).where(F.col("name") >= 0.6)
-    years = classes.select("class", F.substring(F.array_min("dates"), 1, 4).alias("year"))
+    years = classes.select("class", "year")
     lists = members.groupBy("class").agg(F.regexp_extract(F.min("ref"), "^[A-Za-z]*", 0).alias("list"))
     pairs = facts.join(years.select(F.col("class").alias("a"), F.col("year").alias("a_year")), "a").join(years.select(F.col("class").alias("b"), F.col("year").alias("b_year")), "b")
     rival = lambda year: F.when(F.col("dates") == UNKNOWN, F.coalesce(year, F.lit("same"))).otherwise(F.lit("same"))
