@@ -76,7 +76,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total: Column | None = Non
     max_repeats). domains: optional (source, domain); without it all sources are one domain. A source's share is
     spread over its languages as its tokens are. Every document of a leaf is used k or k + 1 times, k + 1 for a prefix in
     seeded order, and never more than max_repeats times (null or below 1 as 1). A source without documents gets
-    nothing; its share is redistributed. Null sources take no part. A source's tokens differ from its budget by at most
+    nothing; its share is redistributed. Null sources and documents without tokens take no part, a null language counts as 'und';
+    other columns are ignored. A source's tokens differ from its budget by at most
     half of one document where its leaves end. Empty tables give no rows.
 
     Token sums are kept by leaf and slice; a running sum is taken over at most SLICES sums of a leaf, and only inside the one slice
@@ -87,7 +88,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total: Column | None = Non
         "mix_name", F.col("source_name").alias("source"), F.col("target_share").cast("double").alias("share"),
         F.greatest(F.coalesce(F.col("max_repeats"), F.lit(1)), F.lit(1)).alias("max_repeats"),
     ).where("mix_name is not null and source is not null and share > 0").groupBy("mix_name", "source").agg(F.sum("share").alias("share"), F.max("max_repeats").alias("max_repeats"))
-    placed = documents.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slice", F.pmod("rank", F.lit(SLICES)))
+    placed = documents.select("doc_id", *where, "tokens").where("source is not null and tokens > 0").fillna("und", ["lang"])
+    placed = placed.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slice", F.pmod("rank", F.lit(SLICES)))
     slices = placed.groupBy(*where, "slice").agg(F.sum("tokens").alias("slice_tokens"))
     slices = checkpointed(slices)  # the texts are tokenized before this, once for the sums
     supply = slices.groupBy(*where).agg(F.sum("slice_tokens").alias("tokens"))

@@ -106,6 +106,8 @@ def test_mixture(spark):
     assert {tuple(r) for r in mixture(docs.repartition(7), targets).collect()} == {tuple(r) for r in mixed.collect()}  # the seed alone decides
     small = mixture(docs, targets, total=F.lit(400)).groupBy("mix_name").agg(F.sum(F.col("tokens") * F.col("times")).alias("n")).collect()
     assert all(abs(r.n - 400) < 80 for r in small)
+    clashing = docs.withColumn("slice", F.lit(1)).withColumn("before", F.lit(1)).withColumn("rest", F.lit(1))
+    assert mixture(clashing, targets).count() == mixed.count()
     assert mixture(docs.limit(0), targets).count() == 0 and mixture(docs, targets.limit(0)).count() == 0
 
 
