@@ -27,7 +27,7 @@ CLIENT, LISTED = "C", "L"
 Q = 3
 #: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year, no date
 #: but a common country, neither; and of the rare tokens of a company.
-SHARES = {"date": 0.4, "slip": 0.85, "year": 0.6, "country": 0.75, "name": 0.85, "company": 0.6}
+SHARES = {"date": 0.4, "slip": 0.85, "year": 0.5, "country": 0.75, "name": 0.85, "company": 0.6}
 #: Common q-grams that a pair must show in the prefixes; a key of two q-grams counts as two.
 EVIDENCE = 3
 #: A token in at least this part of the parties has its frequency as weight; there are at most (tokens per name) / part such tokens.
@@ -289,7 +289,7 @@ class Keys:
         return token[:3] if 3 <= len(token) <= 7 and any(t.startswith(token) for t in self.common) else None
 
     def strong(self, names: list[str], dates: list[str]) -> set[int]:
-        """Keys of a person for each full date: date and q-gram, and two parts of the date and q-gram for slips."""
+        """Keys of a person for each full date: date and q-gram, and for slips year and month, year and day, or day and month of two years."""
         keys: set[int] = set()
         for name in names:
             ordered = self.ordered(name)
@@ -298,30 +298,37 @@ class Keys:
                 if day != "00":
                     both = "".join(sorted((m, day)))
                     keys.update(_hash("D", y, both, g) for g in _prefix(ordered, SHARES["date"]))
+                    later = str(int(y) + 1)  # years that differ by one share a key
                     for g in _prefix(ordered, SHARES["slip"]):
-                        keys.update((_hash("M", y, m, g), _hash("T", y, day, g), _hash("B", m, day, g)))
+                        keys.update((_hash("M", y, m, g), _hash("T", y, day, g), _hash("B", m, day, y, g), _hash("B", m, day, later, g)))
         return keys
 
+    def placed(self, name: str, share: float) -> set[tuple[str, str]]:
+        """(initial of another word, q-gram) for the q-grams of the prefix."""
+        tokens = [t for t in name.split() if t not in LINKS] or name.split()
+        first, prefix = [initials(t) for t in tokens], _prefix(self.ordered(name), share)
+        found = set()
+        for i, t in enumerate(tokens):
+            own = {s[k : k + Q] for s in [f"^{t}$"] for k in range(len(s) - Q + 1)}
+            mine = [g for g in prefix if g in own]
+            found.update((x, g) for j, letters in enumerate(first) if j != i for x in letters for g in mine)
+        return found
+
     def years(self, names: list[str], dates: list[str]) -> set[int]:
-        return {_hash("Y", y, g) for name in names for y in {d[:4] for d in dates} for g in _prefix(self.ordered(name), SHARES["year"])}
+        """Keys of a year, a q-gram and the initial of another word."""
+        years = {d[:4] for d in dates}
+        return {_hash("Y", y, x, g) for name in names for x, g in self.placed(name, SHARES["year"]) for y in years}
 
     def undated(self, names: list[str], countries: list[str], asking: bool) -> set[int]:
         """Keys of a q-gram and the initial of another word: with each country, or, where one side states none, alone."""
         keys: set[int] = set()
         for name in names:
-            ordered = self.ordered(name)
-            tokens = [t for t in name.split() if t not in LINKS] or name.split()
-            first = [initials(t) for t in tokens]
-            nearly, equal = _prefix(ordered, SHARES["country"]), _prefix(ordered, SHARES["name"])
-            for i, t in enumerate(tokens):
-                own = {s[k : k + Q] for s in [f"^{t}$"] for k in range(len(s) - Q + 1)}
-                mine, strict = [g for g in nearly if g in own], [g for g in equal if g in own]
-                for x in {x for j, letters in enumerate(first) if j != i for x in letters}:
-                    keys.update(_hash("C", c, x, g) for g in mine for c in countries)
-                    if asking:
-                        keys.update(_hash("U", x, g) for g in strict)
-                    if not (asking and countries):
-                        keys.update(_hash("V" if asking or countries else "U", x, g) for g in strict)
+            keys.update(_hash("C", c, x, g) for x, g in self.placed(name, SHARES["country"]) for c in countries)
+            strict = self.placed(name, SHARES["name"])
+            if asking:
+                keys.update(_hash("U", x, g) for x, g in strict)
+            if not (asking and countries):
+                keys.update(_hash("V" if asking or countries else "U", x, g) for x, g in strict)
         return keys
 
     def company(self, kind: str, names: list[str]) -> set[int]:
