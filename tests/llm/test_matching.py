@@ -1,7 +1,6 @@
 """Variant names, entities without keys, and addresses."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tamis.llm.addresses import readings, same_places, same_street, word_keys
 from tamis.llm.parties import DIFFERENT, EQUAL, PARTLY, SLIP, UNKNOWN, country_codes, date_of, dates_agree
