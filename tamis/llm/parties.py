@@ -2,7 +2,7 @@
 
 The sets are the q-grams of a spelling's tokens. Rare q-grams come first; two spellings with enough common
 q-grams share one within their prefixes. A birth date, or a part of it, is joined with each q-gram, so
-that common names meet only where their dates can agree; without a date two q-grams of the prefix are needed.
+that common names meet only where their dates can agree; without a date, ends of two words are joined.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ from tamis.session import checkpointed, clean_id
 
 CLIENT, LISTED = "C", "L"
 Q = 3
-#: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year, no date
-#: but a common country, neither; and of the rare tokens of a company.
-SHARES = {"date": 0.4, "slip": 0.85, "year": 0.5, "country": 0.75, "name": 0.85, "company": 0.6}
-#: Common q-grams that a pair must show in the prefixes; a key of two q-grams counts as two.
+#: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year; and of the
+#: rare tokens of a company. Names without a date are not cut: all ends of their words are keys.
+SHARES = {"date": 0.4, "slip": 0.85, "year": 0.5, "company": 0.6}
+#: Common q-grams that a pair must show in the prefixes; a key of two q-grams, or of the end of a word, counts as two.
 EVIDENCE = 3
 #: A token in at least this part of the parties has its frequency as weight; there are at most (tokens per name) / part such tokens.
 COMMON = 0.001
@@ -259,6 +259,18 @@ def initials(token: str) -> set[str]:
     return {sound(t)[:1] for t in (token, NICKNAMES.get(token, token))}
 
 
+@lru_cache(1 << 16)
+def ends(token: str) -> frozenset[str]:
+    """Beginning and end by sound of a word, and of the name it is short for: a slip leaves one of them, if the word is not short. None of an initial."""
+    heard = {sound(t) for t in (token, NICKNAMES.get(token, token)) if len(t) > 1}
+    return frozenset(e for s in heard for e in ("^" + s[:Q], s[-Q:] + "$"))
+
+
+def outer(token: str) -> set[str]:
+    """Initials of a word, and its end by sound (a slip may change its initial), unless it is an initial itself."""
+    return initials(token) | ({sound(token)[-Q:] + "$"} if len(token) > 1 else set())
+
+
 def _pairs(ordered: list[str], share: float) -> list[tuple[str, str]]:
     return list(itertools.combinations(sorted(_prefix(ordered, share)), 2))
 
@@ -319,16 +331,23 @@ class Keys:
         years = {d[:4] for d in dates}
         return {_hash("Y", y, x, g) for name in names for x, g in self.placed(name, SHARES["year"]) for y in years}
 
+    @staticmethod
+    def sided(name: str) -> set[tuple[str, str]]:
+        """(initial or end of another word, beginning or end of a word), and the ends of the name without blanks."""
+        tokens = [t for t in name.split() if t not in LINKS] or name.split()
+        found = {("", e) for e in ends("".join(tokens))}
+        found.update((x, e) for i, t in enumerate(tokens) for j, other in enumerate(tokens) if i != j for x in outer(other) for e in ends(t))
+        return found
+
     def undated(self, names: list[str], countries: list[str], asking: bool) -> set[int]:
-        """Keys of a q-gram and the initial of another word: with each country, or, where one side states none, alone."""
+        """Keys of an end of a word and the initial or end of another word: with each country, or, where one side states none, alone."""
         keys: set[int] = set()
-        for name in names:
-            keys.update(_hash("C", c, x, g) for x, g in self.placed(name, SHARES["country"]) for c in countries)
-            strict = self.placed(name, SHARES["name"])
+        for x, e in set().union(*map(self.sided, names)):
+            keys.update(_hash("C", c, x, e) for c in countries)
             if asking:
-                keys.update(_hash("U", x, g) for x, g in strict)
+                keys.add(_hash("U", x, e))
             if not (asking and countries):
-                keys.update(_hash("V" if asking or countries else "U", x, g) for x, g in strict)
+                keys.add(_hash("V" if asking or countries else "U", x, e))
         return keys
 
     def company(self, kind: str, names: list[str]) -> set[int]:
@@ -401,8 +420,8 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
         for asked, flip in [(right, False), (left, True)][: 2 if across else 1]:
             asking = right if flip else left
             # A party without a full date meets those of its year; one without any date meets all.
-            for ask, answer, who, whom in (("year", "year", no_full & dated, dated), ("asking", "undated", ~dated, F.lit(True))):
-                meet(keyed(asking.where(who), ask), keyed(asked.where(whom), answer), 1)
+            for ask, answer, who, whom, weight in (("year", "year", no_full & dated, dated, 1), ("asking", "undated", ~dated, F.lit(True), 2)):
+                meet(keyed(asking.where(who), ask), keyed(asked.where(whom), answer), weight)
                 if flip:
                     evidence[-1] = turned(evidence[-1])
     if not across:

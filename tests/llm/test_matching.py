@@ -40,6 +40,16 @@ def test_name_variants(spark):
     assert name_variants(spark.createDataFrame([], CLIENTS), spark.createDataFrame([], LISTED)).count() == 0
 
 
+def test_names_without_dates(spark):
+    """Slips, an initial of another sound and added names must not keep a pair without a birth date from the verifier."""
+    people = [
+        client(1, "A1", "Johannes", "Krugwaldke", None, "DE"), client(2, "A2", "Johannes", "Rugwaldke", "1970-02-03", "DE"), client(3, "B1", "Leonid", "Vetarmarchuk"), client(4, "B2", "Timofei Leonid", "Vetarmrachuk", "1961-04-05", "UA"),
+        client(5, "C1", "Ana Maria", "Lopertegui", None, "ES"), client(6, "C2", "Anna Maria", "Loperteguy", None, "ES"), client(7, "D1", "Johannes", "Adlerhorst", None, "DE"),
+    ]
+    got = {tuple(r) for r in name_variants(spark.createDataFrame(people, CLIENTS), spark.createDataFrame([], LISTED)).collect()}
+    assert got == {("A1", "A2"), ("B1", "B2"), ("C1", "C2")}
+
+
 def test_same_persons(spark):
     people = [
         client(1, "C1", "Mohsen", "EL LABUSABADI", "11/05/1969", "Liban"), client(2, "C2", "Mohsin", "Al Labusabadi", "1969-05-11"), client(3, "C3", "Mohsen", "El Labusabadi", "1988-05-11", "LB"),
