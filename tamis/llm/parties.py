@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,13 +26,17 @@ from tamis.session import checkpointed, clean_id
 
 CLIENT, LISTED = "C", "L"
 Q = 3
-#: Least share of common q-grams (of the larger set) by evidence: equal dates, dates with a slip, equal year; and of the
-#: rare tokens of a company. Names without a date are not cut: all ends of their words are keys.
-SHARES = {"date": 0.4, "slip": 0.85, "year": 0.5, "company": 0.6}
+#: Least share of common q-grams (of the larger set) by evidence: equal dates, equal year; and of the rare tokens of a company.
+#: Names without a date, or with a slip in it, are not cut: all ends of their words are keys.
+SHARES = {"date": 0.4, "year": 0.5, "company": 0.6}
 #: Common q-grams that a pair must show in the prefixes; a key of two q-grams, or of the end of a word, counts as two.
 EVIDENCE = 3
 #: A token in at least this part of the parties has its frequency as weight; there are at most (tokens per name) / part such tokens.
 COMMON = 0.001
+#: Bits of the filter that tells which keys a party without a full date asks for. It has this size whatever their number, and only
+#: saves the shuffle of keys that meet none.
+FILTER_BITS = 1 << 23
+_FOLD = 1 << 15  # bits of one bitmap of bitmap_construct_agg
 
 # The countries of the data model with their codes and names in three languages.
 COUNTRIES = {
@@ -301,18 +306,21 @@ class Keys:
         return token[:3] if 3 <= len(token) <= 7 and any(t.startswith(token) for t in self.common) else None
 
     def strong(self, names: list[str], dates: list[str]) -> set[int]:
-        """Keys of a person for each full date: date and q-gram, and for slips year and month, year and day, or day and month of two years."""
+        """Keys of a q-gram and each full date, whatever the order of the digits of its day and month."""
+        full = [(d[:4], "".join(sorted(d[4:]))) for d in dates if d[6:] != "00"]
+        return {_hash("D", y, digits, g) for name in names for g in _prefix(self.ordered(name), SHARES["date"]) for y, digits in full}
+
+    @staticmethod
+    def slips(names: list[str], dates: list[str]) -> set[int]:
+        """Keys of an end of a word and of each full date year and month, year and day, or day and month of two years."""
         keys: set[int] = set()
-        for name in names:
-            ordered = self.ordered(name)
-            for d in dates:
-                y, m, day = d[:4], d[4:6], d[6:]
-                if day != "00":
-                    both = "".join(sorted((m, day)))
-                    keys.update(_hash("D", y, both, g) for g in _prefix(ordered, SHARES["date"]))
-                    later = str(int(y) + 1)  # years that differ by one share a key
-                    for g in _prefix(ordered, SHARES["slip"]):
-                        keys.update((_hash("M", y, m, g), _hash("T", y, day, g), _hash("B", m, day, y, g), _hash("B", m, day, later, g)))
+        words = {e for name in names for t in ([t for t in name.split() if t not in LINKS] or name.split()) for e in ends(t)}
+        for d in dates:
+            y, m, day = d[:4], d[4:6], d[6:]
+            if day != "00":
+                later = str(int(y) + 1)  # years that differ by one share a key
+                for e in words:
+                    keys.update((_hash("M", y, m, e), _hash("T", y, day, e), _hash("B", m, day, y, e), _hash("B", m, day, later, e)))
         return keys
 
     def placed(self, name: str, share: float) -> set[tuple[str, str]]:
@@ -333,9 +341,10 @@ class Keys:
 
     @staticmethod
     def sided(name: str) -> set[tuple[str, str]]:
-        """(initial or end of another word, beginning or end of a word), and the ends of the name without blanks."""
+        """(initial or end of another word, beginning or end of a word), and both ends of the name without blanks, as two keys."""
         tokens = [t for t in name.split() if t not in LINKS] or name.split()
-        found = {("", e) for e in ends("".join(tokens))}
+        whole = sound("".join(tokens))
+        found = {(n, whole[:Q] + whole[-Q:]) for n in ("^", "$")}
         found.update((x, e) for i, t in enumerate(tokens) for j, other in enumerate(tokens) if i != j for x in outer(other) for e in ends(t))
         return found
 
@@ -362,6 +371,17 @@ class Keys:
         return keys
 
 
+def asked_keys(keys: DataFrame) -> np.ndarray:
+    """A bit array with the bits of all keys set; what reaches the driver is at most its fixed size."""
+    bit = keys.select((F.pmod("key", F.lit(FILTER_BITS)) + 1).alias("bit"))
+    maps = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for bucket, content in maps:
+        begin = (bucket - 1) * (_FOLD // 8)
+        bits[begin : begin + _FOLD // 8] = np.frombuffer(content, np.uint8)
+    return bits
+
+
 def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
     """(a, b): pairs of classes with common q-grams in their prefixes; within one universe, or across both (a a client, b listed).
 
@@ -371,7 +391,7 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
     spark = classes.sparkSession
     shared = spark.sparkContext.broadcast((gram_ranks(classes), set(token_weights(classes)[0])))
 
-    def keyed(rows: DataFrame, family: str) -> DataFrame:
+    def keyed(rows: DataFrame, family: str, asked=None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Keys(*shared.value)
             for batch in batches:
@@ -384,6 +404,8 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
                         own = make.company(kind, names) if family == "company" else set()
                     elif family == "strong":
                         own = make.strong(names, dates)
+                    elif family == "slip":
+                        own = make.slips(names, dates)
                     elif family == "year":
                         own = make.years(names, dates)
                     else:
@@ -391,7 +413,12 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
                     keys.extend(own)
                     ids.extend([c] * len(own))
                 if keys:
-                    yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], names=["key", "class"])
+                    found, whose = np.array(keys, np.int64), np.array(ids, np.int64)
+                    if asked is not None:
+                        at = np.mod(found, FILTER_BITS)
+                        wanted = (asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                        found, whose = found[wanted], whose[wanted]
+                    yield pa.record_batch([pa.array(found), pa.array(whose)], names=["key", "class"])
 
         return rows.select("class", "facts").mapInArrow(run, "key bigint, class bigint")
 
@@ -411,17 +438,20 @@ def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
 
     for x, y in [(CLIENT, LISTED)] if across else [(CLIENT, CLIENT), (LISTED, LISTED)]:
         left, right = universes[x].where(person), universes[y].where(person)
-        if across:
-            meet(keyed(left, "strong"), keyed(right, "strong"), 1)
-        else:
-            own = keyed(left, "strong")
-            same = own.withColumnRenamed("class", "a").join(own.withColumnRenamed("class", "b"), "key").where("a < b")
-            evidence.append(same.select("a", "b", F.lit(1).alias("weight")))
+        for family, weight in (("strong", 1), ("slip", 2)):
+            if across:
+                meet(keyed(left, family), keyed(right, family), weight)
+            else:
+                own = keyed(left, family)
+                same = own.withColumnRenamed("class", "a").join(own.withColumnRenamed("class", "b"), "key").where("a < b")
+                evidence.append(same.select("a", "b", F.lit(weight).alias("weight")))
         for asked, flip in [(right, False), (left, True)][: 2 if across else 1]:
             asking = right if flip else left
             # A party without a full date meets those of its year; one without any date meets all.
             for ask, answer, who, whom, weight in (("year", "year", no_full & dated, dated, 1), ("asking", "undated", ~dated, F.lit(True), 2)):
-                meet(keyed(asking.where(who), ask), keyed(asked.where(whom), answer), weight)
+                asks = keyed(asking.where(who), ask)
+                bits = spark.sparkContext.broadcast(asked_keys(asks))
+                meet(asks, keyed(asked.where(whom), answer, bits), weight)
                 if flip:
                     evidence[-1] = turned(evidence[-1])
     if not across:

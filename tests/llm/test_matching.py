@@ -50,6 +50,20 @@ def test_names_without_dates(spark):
     assert got == {("A1", "A2"), ("B1", "B2"), ("C1", "C2")}
 
 
+def test_slips_of_dates(spark):
+    """A date with one slip and a name with another: wrong digit, digits of month and day changed over, year off by one."""
+    people = [
+        client(1, "A1", "Lucien", "Charoviguard", "1975-05-12", "FR"), client(2, "A2", "Lucien", "Charovigaurd", "1975-05-17", "FR"), client(3, "B1", "Tarek", "Labeszerni", "1980-02-13", "TN"),
+        client(4, "B2", "Tarek Mustapha", "Labeszerny", "1980-01-23", "TN"), client(5, "C1", "Harriet", "Wesstow", "1966-07-08", "GB"), client(6, "C2", "Hariett", "Wesstow", "1967-07-08", "GB"),
+        client(7, "D1", "Lucien", "Marimlanaud", "1975-05-13", "FR"),
+    ]
+    book = spark.createDataFrame(people, CLIENTS)
+    assert {tuple(r) for r in name_variants(book, spark.createDataFrame([], LISTED)).collect()} == {("A1", "A2"), ("B1", "B2"), ("C1", "C2")}
+    names = [listed(1, "EU.1", "Lucien Charovigaurd", '["1975-05-17"]', '{"citizenship": ["FR"]}'), listed(2, "EU.2", "Labeszerny, Tarek Mustapha", '["1980-01-23"]', '{"citizenship": ["TN"]}')]
+    found = {(r.client_id, r.entity_id) for r in same_persons(book, spark.createDataFrame(names, LISTED)).collect()}
+    assert {("A1", "EU.1"), ("B1", "EU.2")} <= found
+
+
 def test_same_persons(spark):
     people = [
         client(1, "C1", "Mohsen", "EL LABUSABADI", "11/05/1969", "Liban"), client(2, "C2", "Mohsin", "Al Labusabadi", "1969-05-11"), client(3, "C3", "Mohsen", "El Labusabadi", "1988-05-11", "LB"),
