@@ -165,6 +165,28 @@ def decided(pairs: DataFrame, config: EngineConfig) -> DataFrame:
     return adjusted.withColumn("final_score", final).withColumn("cut_off", threshold).withColumn("decision", F.when(final >= threshold, "ALERT").otherwise("NO_MATCH"))
 
 
+#: The filtering channel knows of a party only its name, country and BIC.
+FILTERING = EngineConfig(off=frozenset(("adjust.dob", "adjust.gender", "adjust.geography")))
+
+
+def party_hits(parties: DataFrame, listed: DataFrame, config: EngineConfig = FILTERING) -> DataFrame:
+    """(name, country, bic, entity_id, final_score): alerts of payment parties.
+
+    parties: name, country and bic ('' if unknown), probes (rotations of the name). As neither its kind nor the order of its words is known,
+    a party probes with the phonetic code of each word, as a person and as a company. listed: entity_id, listed_type, listed_names,
+    listed_countries, list_type, perimeter.
+    """
+    kinds = F.array(F.lit("PP"), F.lit("PM"))
+    # codes come from Python, so they are a column before higher-order functions use them
+    p = parties.withColumn("client_id", F.concat_ws("|", "name", "country", "bic")).withColumn("words", name_codes(F.col("probes"))).where("size(words) >= 0")
+    p = p.withColumn("client_countries", F.when(F.col("country") == "", F.array().cast("array<string>")).otherwise(F.array("country"))).withColumn("rest", product_keys(kinds, F.col("words")))
+    p = p.withColumn("keys", probe_keys(product_keys(F.col("client_countries"), kinds, F.col("words")), F.col("client_countries"), F.col("rest")))
+    w = listed.withColumn("words", name_codes(F.col("listed_names"))).where("size(words) >= 0").withColumn("keys", product_keys(F.col("listed_countries"), F.array("listed_type"), F.col("words")))
+    sides = p.select("client_id", "name", "country", "bic", F.array("name").alias("client_names"))
+    pairs = candidates(p, w).join(sides, "client_id").join(w.drop("keys", "words"), "entity_id").withColumn("hard", F.lit(None).cast("string"))
+    return decided(pairs, config).where("decision = 'ALERT'").select("name", "country", "bic", "entity_id", "final_score")
+
+
 #: Order of hard-match mechanisms; the first that holds is reported.
 HARD = ("lei", "bic", "tax", "crypto", "passport", "registry", "national_id", "imo", "tail", "mmsi", "call_sign", "other_documents", "other_registrations")
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import content_checksum, iso_date
 from tamis.operators import flows
+from tamis.operators.screening import party_hits
 from tamis.plans import views as V
+from tamis.plans.screening import _listed_side
 from tamis.sources import payments
 from tamis.streaming import surveillance
 from tamis.session import table
@@ -44,6 +46,15 @@ def payment_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return payments.message_verdicts(p, hits).groupBy("verdict").agg(F.count("*").alias("messages"), F.sum("hits").alias("hits"))
 
 
+def payment_screening(spark: SparkSession, d: str) -> DataFrame:
+    """Messages paid by the persons of the client book, with the list entities that their parties hit."""
+    c = V.clients(spark, d).where("client_type = 'PP'").select("k", F.concat_ws(" ", "last_name", "first_name").alias("name"), F.coalesce("nationality", F.lit("")).alias("country"))
+    xml = F.format_string('<Document><GrpHdr><MsgId>P%d</MsgId></GrpHdr><CdtTrfTxInf><Dbtr><Nm>%s</Nm><PstlAdr><Ctry>%s</Ctry></PstlAdr></Dbtr></CdtTrfTxInf></Document>', "k", "name", "country")
+    parties = payments.payment_parties(c.select(xml.alias("xml")))
+    listed = _listed_side(spark, d).withColumn("perimeter", F.when(F.col("list_type") == "PEP", "HORS_SANCTION").otherwise("SANCTION"))
+    return payments.message_verdicts(parties, party_hits(payments.distinct_parties(parties), listed))
+
+
 def variant_mining(spark: SparkSession, d: str) -> DataFrame:
     """Words that replace one another in pairs that agree in the first word and the beginning of the last."""
     c = V.clients(spark, d).where("client_type = 'PP'").select("client_id", F.concat_ws(" ", "first_name", "last_name").alias("a"), "first_name", F.substring("last_name", 1, 4).alias("begins"))
@@ -105,7 +116,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (payment_parties, distinct_payment_parties, payment_verdicts, variant_mining, parsed_names, canonical_names, birth_dates, client_countries, daily_digests, escalated, client_checksums, stream_windows)
+    for f in (payment_parties, distinct_payment_parties, payment_verdicts, payment_screening, variant_mining, parsed_names, canonical_names, birth_dates, client_countries, daily_digests, escalated, client_checksums, stream_windows)
 }
 
 _PAYMENTS = f"""paid AS (SELECT o_orderkey, c_custkey, c_name, floor(o_totalprice) AS amount, {V._pick(V.CC, 'c_nationkey')} AS country FROM orders JOIN customer ON o_custkey = c_custkey),

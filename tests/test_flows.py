@@ -6,7 +6,8 @@ from tamis.operators import desk, flows
 from tamis.operators.deltas import added_removed, changed_rows, delta_status, field_differences
 from tamis.operators.quality import client_quality
 from tamis.operators.rarity import document_frequency
-from tamis.operators.screening import EngineConfig, cut_off, merged_alerts, product_keys, without_whitelisted
+from tamis.operators.screening import EngineConfig, cut_off, merged_alerts, party_hits, product_keys, without_whitelisted
+from tamis.sources import payments
 
 
 def test_deltas(spark):
@@ -29,6 +30,18 @@ def test_names(spark):
     assert flows.canonical_words(spark.createDataFrame([(1, "Anné Roux")], "k int, n string"), "k", "n", classes).first().canonical == "#7 ROUX"
 
 
+def test_payment_parties_are_screened(spark):
+    """A party is found by any of its words, whatever its kind, beside listings without country."""
+    message = "<D><GrpHdr><MsgId>{}</MsgId></GrpHdr><CdtTrfTxInf><Dbtr><Nm>{}</Nm><PstlAdr><Ctry>FR</Ctry></PstlAdr></Dbtr></CdtTrfTxInf></D>"
+    names = {"M1": "Mr Konstantin Papadopoulos", "M2": "Konstantin Papadopulos", "M3": "Harren Shipping", "M4": "Amelie Durand", "M5": "M. Boris Papadopoulos"}
+    parties = payments.payment_parties(spark.createDataFrame([(message.format(k, v),) for k, v in names.items()], "xml string"))
+    kind = "entity_id string, listed_type string, listed_names array<string>, listed_countries array<string>, list_type string, perimeter string"
+    rows = [("E1", "PP", ["Konstantin Papadopoulos"], ["FR"], "EU", "SANCTION"), ("E2", "PM", ["Haren Shipping"], [], "EU", "SANCTION"), ("E3", "PP", ["Amelie Durand"], ["DE"], "EU", "SANCTION")]
+    hits = party_hits(payments.distinct_parties(parties), spark.createDataFrame(rows, kind))
+    assert {(r.name, r.entity_id) for r in hits.collect()} == {("MR KONSTANTIN PAPADOPOULOS", "E1"), ("KONSTANTIN PAPADOPULOS", "E1"), ("HARREN SHIPPING", "E2")}
+    assert {r.message_id for r in payments.message_verdicts(parties, hits).where("verdict = 'HIT'").collect()} == {"M1", "M2", "M3"}
+
+
 def test_quality(spark):
     kind = "client_type string, client_first_name string, client_last_name string, client_company_name string, nationality string, residence string, birth_country string, registration_country string, client_dob string, client_is_deceased boolean"
     rows = [("PP", "Anne", None, None, "FR", None, None, None, "1980-01-01", None), ("PM", None, None, "Ж", None, None, None, None, None, None), ("X", "a", "b", None, None, None, None, "DE", "01/01/1980", None), ("PP", "A", "B", None, "FR", None, None, None, None, True)]
