@@ -1,8 +1,9 @@
 """Parties with their spellings and what is known about them, and candidate pairs by a set-similarity join.
 
-The sets are the q-grams of a spelling's tokens. Rare q-grams come first; two spellings with enough common
-q-grams share one within their prefixes. A birth date, or a part of it, is joined with each q-gram, so
-that common names meet only where their dates can agree; without a date, ends of two words are joined.
+The sets are the q-grams of a spelling's tokens. Rare q-grams come first; two spellings with enough common q-grams share one
+within their prefixes, which is joined with each full birth date. Slips in a date, dates known in part and names without a date
+are joined by the outer q-grams of words by sound (their beginnings and ends) with the parts of the date, or with the country and
+a second word, so that common names meet only where the rest can agree.
 """
 
 from __future__ import annotations
@@ -18,48 +19,64 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.llm.spelling import LINKS, NICKNAMES, company_likeness, person_likeness, shape_mask, sound, spellings
+from tamis.llm.spelling import LINKS, company_likeness, full_names, nickname_table, person_agreement, plain, shape_mask, sound, spellings, use_nicknames
 from tamis.session import checkpointed, clean_id
 
 CLIENT, LISTED = "C", "L"
 Q = 3
-#: Least share of common q-grams (of the larger set) by evidence: equal dates, equal year; and of the rare tokens of a company.
-#: Names without a date, or with a slip in it, are not cut: all ends of their words are keys.
-SHARES = {"date": 0.4, "year": 0.5, "company": 0.6}
-#: Common q-grams that a pair must show in the prefixes; a key of two q-grams, or of the end of a word, counts as two.
+#: Least share of common q-grams (of the larger set) by evidence: equal dates; and of the rare tokens of a company. Persons below the
+#: share of equal dates still meet by the outer q-grams of their words.
+SHARES = {"date": 0.5, "company": 0.6}
+#: Common q-grams of the rare tokens that two companies must show in their prefixes.
 EVIDENCE = 3
-#: A token in at least this part of the parties has its frequency as weight; there are at most (tokens per name) / part such tokens.
+#: Weight that the shared keys of two persons must reach: a q-gram of the prefix with the full date, or both ends of a word, weighs 2; one end 1.
+ENOUGH = 2
+#: A token in at least this part of the parties is common: there are at most (tokens per name) / part such tokens. Their frequencies
+#: are broadcast; those of all other tokens travel with the names that contain them.
 COMMON = 0.001
+#: Counters of the sketch that orders q-grams by frequency; of this size whatever the alphabet.
+GRAM_COUNTERS = 1 << 17
 #: Bits of the filter that tells which keys a party without a full date asks for. It has this size whatever their number, and only
 #: saves the shuffle of keys that meet none.
 FILTER_BITS = 1 << 23
 _FOLD = 1 << 15  # bits of one bitmap of bitmap_construct_agg
-
-# The countries of the data model with their codes and names in three languages.
-COUNTRIES = {
-    "AE": "are united arab emirates,emirats arabes unis,uae", "AT": "aut,austria,autriche,osterreich", "BE": "bel,belgium,belgique", "BG": "bgr,bulgaria,bulgarie", "BY": "blr,belarus,bielorussie",
-    "CL": "chl,chile,chili", "CY": "cyp,cyprus,chypre", "DE": "deu,germany,allemagne,deutschland", "EG": "egy,egypt,egypte", "ES": "esp,spain,espagne,espana", "FR": "fra,france",
-    "GB": "gbr,united kingdom,royaume-uni,uk", "GH": "gha,ghana", "GR": "grc,greece,grece", "IE": "irl,ireland,irlande", "KE": "ken,kenya", "LB": "lbn,lebanon,liban", "MA": "mar,morocco,maroc",
-    "MX": "mex,mexico,mexique", "PE": "per,peru,perou", "RS": "srb,serbia,serbie", "SN": "sen,senegal", "TN": "tun,tunisia,tunisie", "UA": "ukr,ukraine",
-}
-_COUNTRY = {n: c for c, names in COUNTRIES.items() for n in names.replace("are united", "are,united").split(",")}
+#: Languages whose names of countries are read.
+LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl")
+# Usual short forms that are no names of the locale data.
+_SHORT = {"uk": "GB", "uae": "AE", "usa": "US", "great britain": "GB", "england": "GB", "russian federation": "RU", "czech republic": "CZ", "ivory coast": "CI", "burma": "MM", "dprk": "KP", "drc": "CD"}
 
 PARTY = "universe string, kind string, names array<string>, masks array<string>, dates array<string>, countries array<string>, numbers array<string>"
 
+_country_tables: dict[str, dict[str, str]] = {}
+
+
+def country_table(spark: SparkSession | None = None) -> dict[str, str]:
+    """Two- and three-letter codes and names of all ISO 3166 countries, in several languages, to the two-letter code; from the
+    locale data of the Java runtime."""
+    context = spark.sparkContext if spark else SparkContext._active_spark_context
+    if context.applicationId not in _country_tables:
+        locale = context._jvm.java.util.Locale
+        languages = [locale.forLanguageTag(x) for x in LANGUAGES]
+        table = dict(_SHORT)
+        for code in locale.getISOCountries():
+            country = locale.forLanguageTag(f"und-{code}")
+            labels = [code, country.getISO3Country(), *(country.getDisplayCountry(x) for x in languages)]
+            table.update({plain(label).replace("’", "'"): code for label in labels if label})
+        _country_tables[context.applicationId] = table
+    return _country_tables[context.applicationId]
+
 
-@lru_cache(1 << 14)
-def country_codes(text: str | None) -> frozenset[str]:
-    found = set()
-    for part in re.split(r"[,;/|]", text or ""):
-        p = part.strip()
-        if len(p) == 2:
-            found.add(p.upper())
-        elif p:
-            found.add(_COUNTRY.get(p.lower(), p.lower()))
-    return frozenset(found)
+def country_codes(text: str | None, table: dict[str, str] | None = None) -> frozenset[str]:
+    """Codes of the countries a text names; a label that is no country's says nothing."""
+    if not text:
+        return frozenset()
+    table = country_table() if table is None else table
+    parts = (p.strip() for p in re.split(r"[,;/|]", text))
+    return frozenset(c for p in parts if p and (c := table.get(p.lower()) or table.get(plain(p).replace("’", "'").strip())))
 
 
 @lru_cache(1 << 16)
@@ -113,7 +130,7 @@ def _party(universe: str, kind: str, names: list[tuple[str, ...]], dates: set[st
     return universe, kind, spelled, [f"{shape_mask(n):x}" for n in spelled], sorted(kept), sorted(countries), sorted(numbers)
 
 
-def _client(rows: list[dict]) -> tuple | None:
+def _client(rows: list[dict], codes) -> tuple | None:
     names, dates, countries = [], set(), set()
     for r in rows:
         first, last, maiden = (r[k] or "" for k in ("first", "last", "maiden"))
@@ -123,11 +140,11 @@ def _client(rows: list[dict]) -> tuple | None:
         for alias in texts_of(parsed_json(r["aliases"])):
             names += spellings(alias, False)
         dates.add(date_of(r["dob"]))
-        countries |= country_codes(r["nationality"]) | country_codes(r["birth"])
+        countries |= codes(r["nationality"]) | codes(r["birth"])
     return _party(CLIENT, "P", names, dates, countries, set())
 
 
-def _listed(rows: list[dict]) -> tuple | None:
+def _listed(rows: list[dict], codes) -> tuple | None:
     names, dates, countries, numbers, kinds = [], set(), set(), set(), Counter()
     for r in rows:
         kind = {"I": "P", "V": "V"}.get(r["type"], "O")
@@ -152,7 +169,7 @@ def _listed(rows: list[dict]) -> tuple | None:
         if isinstance(where, dict):
             for k in ("citizenship", "birth_country") if not company else ("jurisdiction_country", "residence", "citizenship", "birth_country"):
                 for c in texts_of(where.get(k)):
-                    countries |= country_codes(c)
+                    countries |= codes(c)
         for k in ("imo", "lei"):
             if r[k]:
                 numbers.add(k + re.sub(r"\D" if k == "imo" else r"\W", "", r[k]).upper())
@@ -165,11 +182,13 @@ def _listed(rows: list[dict]) -> tuple | None:
 
 def _profiled(rows: DataFrame, build) -> DataFrame:
     """(ref, PARTY) of (ref, rows): one party per ref, from its distinct contents."""
+    table = country_table(rows.sparkSession)
     kinds = [("universe", pa.string()), ("kind", pa.string()), *((n, pa.list_(pa.string())) for n in ("names", "masks", "dates", "countries", "numbers"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = lru_cache(1 << 14)(lambda text: country_codes(text, table))
         for batch in batches:
-            found = [(ref, *p) for ref, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := build(content))]
+            found = [(ref, *p) for ref, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (p := build(content, codes))]
             if found:
                 columns = list(zip(*found))
                 yield pa.record_batch([pa.array(columns[0], pa.string()), *(pa.array(c, t) for c, (_, t) in zip(columns[1:], kinds))], names=["ref", *(n for n, _ in kinds)])
@@ -199,92 +218,144 @@ def listed_parties(entities: DataFrame, individuals: bool = False) -> DataFrame:
     return _profiled(e.where("ref is not null").groupBy("ref").agg(F.collect_set("row").alias("rows")), _listed)
 
 
-def grams(name: str) -> set[str]:
+@lru_cache(1 << 15)
+def _token_grams(token: str) -> tuple[int, ...]:
+    s = f"^{token}$"
+    return tuple({code(s[i : i + Q]) for i in range(len(s) - Q + 1)})
+
+
+def grams(name: str) -> set[int]:
     """q-grams of the tokens of a spelling, with the ends of the tokens marked; links and legal forms count only alone."""
     tokens = [t for t in name.split() if t not in LINKS and t[0] != "#"] or name.split()
-    return {s[i : i + Q] for t in tokens for s in [f"^{t}$"] for i in range(len(s) - Q + 1)}
+    return {g for t in tokens for g in _token_grams(t)}
 
 
 def party_classes(parties: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes, members): parties with equal contents are one class, so copies are compared once.
 
-    classes: class, universe, kind, facts (one text, as it is read and moved many times), dated (any date), full (a full date), year.
+    classes: class (64-bit digest of the contents), universe, kind, facts (one text, as it is read and moved many times), dated (any
+    date), full (a full date). The last part of the facts are the tokens that several, but not a large part of the parties share,
+    each with the number of parties that have it.
     """
     content = ["universe", "kind", "names", "masks", "dates", "countries", "numbers"]
     joined = lambda c: F.array_join(c, ";")
     facts = F.concat_ws("|", "kind", *(joined(c) for c in content[2:]))
     kept = parties.withColumn("facts", facts).select(
-        "ref", "universe", "kind", "facts", (F.size("dates") > 0).alias("dated"), F.exists("dates", lambda d: ~d.endswith("00")).alias("full"),
-        F.substring(F.array_min("dates"), 1, 4).alias("year"), F.conv(F.substring(F.md5(F.concat("universe", "facts")), 1, 15), 16, 10).cast("bigint").alias("class"),
+        "ref", "universe", "kind", "facts", (F.size("dates") > 0).alias("dated"), F.exists("dates", lambda d: ~d.endswith("00")).alias("full"), F.xxhash64("universe", "facts").alias("class"),
     )
     kept = checkpointed(kept)
-    classes = checkpointed(kept.drop("ref").dropDuplicates(["class"]))
-    return classes, kept.select("class", "universe", "ref")
+    classes = kept.drop("ref").dropDuplicates(["class"])
+    total = kept.select("class").distinct().count()
+    tokens = checkpointed(classes.select("class", F.explode(F.array_distinct(F.split(F.get(F.split("facts", r"\|"), F.lit(1)), "[; ]"))).alias("token")))
+    counts = tokens.groupBy("token").count().where(F.col("count").between(2, common_from(total) - 1))
+    shared = tokens.join(counts, "token").groupBy("class").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "token", "count"))), ";").alias("shared"))
+    classes = classes.join(shared, "class", "left").withColumn("facts", F.concat_ws("|", "facts", F.coalesce("shared", F.lit("")))).drop("shared")
+    return checkpointed(classes), kept.select("class", "universe", "ref")
+
+
+def common_from(total: int) -> int:
+    """Number of parties from which on a token is common."""
+    return max(2, math.ceil(COMMON * total))
 
 
 def names_of(facts: str) -> list[str]:
     return facts.split("|", 2)[1].split(";")
 
 
-def gram_ranks(classes: DataFrame) -> dict[str, int]:
-    """Rank of every q-gram by rarity over all classes. Their number is bounded by the alphabet to the power Q."""
+def gram_counts(classes: DataFrame) -> np.ndarray:
+    """Number of classes with each q-gram, in a table of fixed size by digest; q-grams of one cell count together, which only
+    changes the order among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts = np.zeros(GRAM_COUNTERS, np.int64)
         for batch in batches:
-            for facts in batch.column(0).to_pylist():
-                counts.update(set().union(*map(grams, names_of(facts))))
-        if counts:
-            yield pa.record_batch([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+            found = [g for facts in batch.column(0).to_pylist() for g in set().union(*map(grams, names_of(facts)))]
+            counts += np.bincount(np.array(found, np.int64) % GRAM_COUNTERS, minlength=GRAM_COUNTERS) if found else 0
+        cells = np.flatnonzero(counts)
+        if len(cells):
+            yield pa.record_batch([pa.array(cells), pa.array(counts[cells])], names=["cell", "n"])
 
-    totals = classes.select("facts").mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {gram: i for i, (gram, _) in enumerate(sorted(totals.collect(), key=lambda r: (r[1], r[0])))}
+    totals = classes.select("facts").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(GRAM_COUNTERS, np.int64)
+    table[totals.column("cell").to_numpy()] = totals.column("n").to_numpy()
+    return table
 
 
-def token_weights(classes: DataFrame) -> tuple[dict[str, float], float]:
-    """(weights of the common tokens, weight of all others): the logarithm of the inverse share of classes."""
+def token_counts(classes: DataFrame) -> tuple[dict[str, int], int]:
+    """(number of classes with each common token, number of all classes)."""
     words = F.split(F.get(F.split("facts", r"\|"), F.lit(1)), "[; ]")
-    tokens = classes.select(F.explode(F.array_distinct(words)).alias("token"))
     total = classes.count()
-    common = tokens.groupBy("token").count().where(F.col("count") >= max(2.0, COMMON * total)).collect()
-    return {t: max(0.5, math.log(total / n)) for t, n in common}, max(1.0, math.log(1 / max(COMMON, 2 / max(total, 2))))
+    counts = classes.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").count()
+    return {t: n for t, n in counts.where(F.col("count") >= common_from(total)).collect()}, total
+
+
+_BITS = (1 << 62) - 1
+_FACTOR = 0x9E3779B97F4A7C15
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(parts)) - (1 << 63)
+@lru_cache(1 << 17)
+def code(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) & _BITS
 
 
-def _prefix(ordered: list[str], share: float) -> list[str]:
-    """The rarest q-grams, of which any set with that share of common q-grams has at least EVIDENCE."""
-    return ordered[: len(ordered) - math.ceil(share * len(ordered) - 1e-9) + EVIDENCE]
+def mixed(*codes: int) -> int:
+    """One code of several, in order."""
+    key = 0
+    for c in codes:
+        key = (key * _FACTOR + c) & _BITS
+    return key
 
 
-def initials(token: str) -> set[str]:
-    """First letter by sound of a word, and of the name it is short for."""
-    return {sound(t)[:1] for t in (token, NICKNAMES.get(token, token))}
+def _prefix(ordered: list[int], share: float, evidence: int) -> list[int]:
+    """The rarest q-grams, of which any set with that share of common q-grams has at least `evidence`."""
+    return ordered[: len(ordered) - math.ceil(share * len(ordered) - 1e-9) + evidence]
+
+
+@lru_cache(1 << 16)
+def heard(token: str) -> frozenset[str]:
+    """A word by sound, and the names it may be short for."""
+    return frozenset({sound(token), *map(sound, full_names(token))})
 
 
 @lru_cache(1 << 16)
-def ends(token: str) -> frozenset[str]:
-    """Beginning and end by sound of a word, and of the name it is short for: a slip leaves one of them, if the word is not short. None of an initial."""
-    heard = {sound(t) for t in (token, NICKNAMES.get(token, token)) if len(t) > 1}
-    return frozenset(e for s in heard for e in ("^" + s[:Q], s[-Q:] + "$"))
+def ends(token: str) -> tuple[int, ...]:
+    """Beginning and end by sound of a word, and of the names it is short for: a slip leaves one of them, if the word is not short. None of an initial."""
+    return tuple({code(e) for s in heard(token) for e in ("^" + s[:Q], s[-Q:] + "$")}) if len(token) > 1 else ()
 
 
-def outer(token: str) -> set[str]:
+@lru_cache(1 << 16)
+def both_ends(token: str) -> tuple[int, ...]:
+    return tuple({code(f"^{s[:Q]}-{s[-Q:]}$") for s in heard(token)}) if len(token) > 1 else ()
+
+
+@lru_cache(1 << 16)
+def outer(token: str) -> tuple[int, ...]:
     """Initials of a word, and its end by sound (a slip may change its initial), unless it is an initial itself."""
-    return initials(token) | ({sound(token)[-Q:] + "$"} if len(token) > 1 else set())
+    return tuple({code(s[:1]) for s in heard(token)} | ({code(sound(token)[-Q:] + "$")} if len(token) > 1 else set()))
 
 
-def _pairs(ordered: list[str], share: float) -> list[tuple[str, str]]:
-    return list(itertools.combinations(sorted(_prefix(ordered, share)), 2))
+@lru_cache(1 << 16)
+def _date_parts(date: str) -> tuple[int, ...]:
+    """Codes of year and month, of year and day, and of day and month with two years: those that differ by one share one."""
+    y, m, d = date[:4], date[4:6], date[6:]
+    return code(f"M{y}{m}"), code(f"T{y}-{d}"), code(f"B{m}{d}{y}"), code(f"B{m}{d}{int(y) + 1}")
+
+
+@lru_cache(1 << 16)
+def _digits(date: str) -> int:
+    """Code of a full date, whatever the order of the digits of its day and month."""
+    return code("D" + date[:4] + "".join(sorted(date[4:])))
+
+
+def words_of(name: str) -> list[str]:
+    return [t for t in name.split() if t not in LINKS] or name.split()
 
 
 class Keys:
-    """Join keys of parties, from the ranks of all q-grams and the common tokens."""
+    """Join keys of parties, from the frequencies of all q-grams and the common tokens."""
 
-    def __init__(self, ranks: dict[str, int], common: set[str]):
-        self.ranks = ranks
+    def __init__(self, counts: np.ndarray, common: set[str]):
+        self.order = lru_cache(1 << 16)(lambda g: (int(counts[g % GRAM_COUNTERS]), g))
         self.common = {t for t in common if len(t) > 3}
         self.near = {k: t for t in sorted(self.common) if len(t) > 5 for k in self._cut(t)}
 
@@ -292,8 +363,8 @@ class Keys:
     def _cut(token: str) -> set[str]:
         return {token, *(token[:i] + token[i + 1 :] for i in range(len(token)))}
 
-    def ordered(self, name: str) -> list[str]:
-        return sorted(grams(name), key=self.ranks.__getitem__)
+    def ordered(self, name: str) -> list[int]:
+        return sorted(grams(name), key=self.order)
 
     def head(self, token: str) -> str | None:
         """The first letters of the common token that a token is, perhaps with a slip or cut short; None for rare tokens."""
@@ -305,60 +376,43 @@ class Keys:
                     return self.near[k][:3]
         return token[:3] if 3 <= len(token) <= 7 and any(t.startswith(token) for t in self.common) else None
 
-    def strong(self, names: list[str], dates: list[str]) -> set[int]:
-        """Keys of a q-gram and each full date, whatever the order of the digits of its day and month."""
-        full = [(d[:4], "".join(sorted(d[4:]))) for d in dates if d[6:] != "00"]
-        return {_hash("D", y, digits, g) for name in names for g in _prefix(self.ordered(name), SHARES["date"]) for y, digits in full}
+    def dated(self, names: list[str], dates: list[str]) -> tuple[set[int], set[int]]:
+        """(heavy, light) keys of full dates: a rare q-gram and the date; an end of a word and two parts of the date, for slips."""
+        full = [d for d in dates if d[6:] != "00"]
+        if not full:
+            return set(), set()
+        rare = {g for name in names for g in _prefix(self.ordered(name), SHARES["date"], 1)}
+        outside = {e for name in names for t in words_of(name) for e in ends(t)}
+        heavy = {(_digits(d) * _FACTOR + g) & _BITS for d in full for g in rare}
+        return heavy, {(p * _FACTOR + e) & _BITS for d in full for p in _date_parts(d) for e in outside}
 
     @staticmethod
-    def slips(names: list[str], dates: list[str]) -> set[int]:
-        """Keys of an end of a word and of each full date year and month, year and day, or day and month of two years."""
-        keys: set[int] = set()
-        words = {e for name in names for t in ([t for t in name.split() if t not in LINKS] or name.split()) for e in ends(t)}
-        for d in dates:
-            y, m, day = d[:4], d[4:6], d[6:]
-            if day != "00":
-                later = str(int(y) + 1)  # years that differ by one share a key
-                for e in words:
-                    keys.update((_hash("M", y, m, e), _hash("T", y, day, e), _hash("B", m, day, y, e), _hash("B", m, day, later, e)))
-        return keys
-
-    def placed(self, name: str, share: float) -> set[tuple[str, str]]:
-        """(initial of another word, q-gram) for the q-grams of the prefix."""
-        tokens = [t for t in name.split() if t not in LINKS] or name.split()
-        first, prefix = [initials(t) for t in tokens], _prefix(self.ordered(name), share)
+    def sided(names: list[str]) -> set[int]:
+        """An end of a word with the initial or end of another; and both ends of the name without blanks, as two codes."""
         found = set()
-        for i, t in enumerate(tokens):
-            own = {s[k : k + Q] for s in [f"^{t}$"] for k in range(len(s) - Q + 1)}
-            mine = [g for g in prefix if g in own]
-            found.update((x, g) for j, letters in enumerate(first) if j != i for x in letters for g in mine)
+        for name in names:
+            tokens = words_of(name)
+            whole = sound("".join(tokens))
+            around = whole[:Q] + whole[-Q:]
+            found.update((code("^" + around), code("$" + around)))
+            for i, t in enumerate(tokens):
+                e = ends(t)
+                found.update([(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other) for y in e])
         return found
 
-    def years(self, names: list[str], dates: list[str]) -> set[int]:
-        """Keys of a year, a q-gram and the initial of another word."""
-        years = {d[:4] for d in dates}
-        return {_hash("Y", y, x, g) for name in names for x, g in self.placed(name, SHARES["year"]) for y in years}
-
     @staticmethod
-    def sided(name: str) -> set[tuple[str, str]]:
-        """(initial or end of another word, beginning or end of a word), and both ends of the name without blanks, as two keys."""
-        tokens = [t for t in name.split() if t not in LINKS] or name.split()
-        whole = sound("".join(tokens))
-        found = {(n, whole[:Q] + whole[-Q:]) for n in ("^", "$")}
-        found.update((x, e) for i, t in enumerate(tokens) for j, other in enumerate(tokens) if i != j for x in outer(other) for e in ends(t))
+    def whole(names: list[str]) -> set[int]:
+        """Both ends of a word with the initial or end of another, and both ends of the name without blanks."""
+        found = set()
+        for name in names:
+            tokens = words_of(name)
+            joined = sound("".join(tokens))
+            found.add(code("=" + joined[:Q] + joined[-Q:]))
+            for i, t in enumerate(tokens):
+                e = both_ends(t)
+                found.update([(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other) for y in e])
         return found
 
-    def undated(self, names: list[str], countries: list[str], asking: bool) -> set[int]:
-        """Keys of an end of a word and the initial or end of another word: with each country, or, where one side states none, alone."""
-        keys: set[int] = set()
-        for x, e in set().union(*map(self.sided, names)):
-            keys.update(_hash("C", c, x, e) for c in countries)
-            if asking:
-                keys.add(_hash("U", x, e))
-            if not (asking and countries):
-                keys.add(_hash("V" if asking or countries else "U", x, e))
-        return keys
-
     def company(self, kind: str, names: list[str]) -> set[int]:
         """Keys of two q-grams of the rare tokens, with the heads of the common ones."""
         keys: set[int] = set()
@@ -366,8 +420,9 @@ class Keys:
             tokens = [t for t in name.split() if t not in LINKS and t[0] != "#"]
             heads = [self.head(t) for t in tokens]
             rare = [t for t, h in zip(tokens, heads) if h is None] or tokens
-            around = " ".join(sorted(h for h in heads if h))
-            keys.update(_hash(kind, around, *pair) for pair in _pairs(self.ordered(" ".join(rare)), SHARES["company"]))
+            around = code(" ".join([kind, *sorted(h for h in heads if h)]))
+            prefix = sorted(_prefix(self.ordered(" ".join(rare)), SHARES["company"], EVIDENCE))
+            keys.update(mixed(around, *pair) for pair in itertools.combinations(prefix, 2))
         return keys
 
 
@@ -382,86 +437,91 @@ def asked_keys(keys: DataFrame) -> np.ndarray:
     return bits
 
 
-def candidate_pairs(classes: DataFrame, across: bool) -> DataFrame:
-    """(a, b): pairs of classes with common q-grams in their prefixes; within one universe, or across both (a a client, b listed).
+_YEAR, _PLACE, _ANYWHERE, _PLACELESS = (code(x) for x in ("year", "place", "anywhere", "placeless"))
 
-    Persons with full dates meet by date and q-gram. Only the few without pair by year or country with all others, so common names
-    of people with known dates never meet without their dates. Companies meet by their rare tokens beside equal common ones.
+
+def asking_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> tuple[set[int], set[int]]:
+    """(heavy, light) keys a person without a full date asks for: of its year, or else of its countries and of those without any."""
+    if dates:
+        sided = make.sided(names)
+        return set(), {mixed(_YEAR, code(y), s) for y in {d[:4] for d in dates} for s in sided}
+    light = {mixed(_PLACE, code(c), s) for s in (make.sided(names) if countries else ()) for c in countries}
+    return {mixed(_PLACELESS if countries else _ANYWHERE, w) for w in make.whole(names)}, light
+
+
+def answering_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(heavy, light) keys with which any person answers those that ask."""
+    sided, whole = (np.array(list(s), np.uint64) for s in (make.sided(names), make.whole(names)))
+    contexts = [mixed(_YEAR, code(y)) for y in {d[:4] for d in dates}] + [mixed(_PLACE, code(c)) for c in countries]
+    factor, bits = np.uint64(_FACTOR), np.uint64(_BITS)
+    with np.errstate(over="ignore"):
+        light = [(np.uint64(c) * factor + sided) & bits for c in contexts]
+        heavy = [(np.uint64(c) * factor + whole) & bits for c in ([_ANYWHERE] if countries else [_ANYWHERE, _PLACELESS])]
+    return np.concatenate(heavy), np.concatenate(light) if light else np.zeros(0, np.uint64)
+
+
+def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """(a, b): pairs of classes with common keys; within one universe, or across both (a a client, b listed).
+
+    Persons with full dates meet by date and q-gram, or by parts of the date and ends of words. Only the few without pair by
+    year or country with all others, so common names of people with known dates never meet without their dates. Companies meet
+    by their rare tokens beside equal common ones. All keys of a party are made in one pass and join with themselves; the
+    lowest bit of a key tells that it is heavy (weighs 2).
     """
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast((gram_ranks(classes), set(token_weights(classes)[0])))
+    counts, common = gram_counts(classes), set(token_counts(classes)[0])
+    shared = spark.sparkContext.broadcast((counts, common, nicknames or nickname_table()))
+    worlds = {u: 0 if across else code(u) for u in (CLIENT, LISTED)}
+    schema = "key bigint, class bigint, universe string, asks boolean"
+
+    def keyed(rows: DataFrame, asked=None) -> DataFrame:
+        """Keys of those that ask; with `asked`, the bits of their keys, all other keys."""
 
-    def keyed(rows: DataFrame, family: str, asked=None) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            make = Keys(*shared.value)
+            make = Keys(*shared.value[:2])
+            use_nicknames(shared.value[2])
+            nothing = np.zeros(0, np.uint64)
             for batch in batches:
-                ids: list[int] = []
-                keys: list[int] = []
-                for c, facts in zip(*(x.to_pylist() for x in batch.columns)):
-                    kind, names, _, dates, countries, _ = (x.split(";") if x else [] for x in facts.split("|"))
-                    kind = kind[0]
-                    if kind != "P":
-                        own = make.company(kind, names) if family == "company" else set()
-                    elif family == "strong":
-                        own = make.strong(names, dates)
-                    elif family == "slip":
-                        own = make.slips(names, dates)
-                    elif family == "year":
-                        own = make.years(names, dates)
+                parts, owners = [], []
+                for i, (universe, facts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    kind, names, _, dates, countries, _, _ = (x.split(";") if x else [] for x in facts.split("|"))
+                    answers = (nothing, nothing)
+                    if kind[0] != "P":
+                        heavy, light = (set() if asked is None else make.company(kind[0], names)), set()
+                    elif asked is None:
+                        heavy, light = asking_keys(make, names, dates, countries)
                     else:
-                        own = make.undated(names, countries, family == "asking")
-                    keys.extend(own)
-                    ids.extend([c] * len(own))
-                if keys:
-                    found, whose = np.array(keys, np.int64), np.array(ids, np.int64)
-                    if asked is not None:
-                        at = np.mod(found, FILTER_BITS)
-                        wanted = (asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                        found, whose = found[wanted], whose[wanted]
-                    yield pa.record_batch([pa.array(found), pa.array(whose)], names=["key", "class"])
-
-        return rows.select("class", "facts").mapInArrow(run, "key bigint, class bigint")
-
-    person = F.col("kind") == "P"
-    dated, no_full = F.col("dated"), ~F.col("full")
-    universes = {u: classes.where(F.col("universe") == u) for u in (CLIENT, LISTED)}
-    evidence = []
-
-    def meet(left: DataFrame, right: DataFrame, weight: int) -> None:
-        pairs = left.withColumnRenamed("class", "a").join(right.withColumnRenamed("class", "b"), "key").where("a <> b")
-        if not across:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        evidence.append(pairs.select("a", "b", F.lit(weight).alias("weight")))
-
-    def turned(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")
-
-    for x, y in [(CLIENT, LISTED)] if across else [(CLIENT, CLIENT), (LISTED, LISTED)]:
-        left, right = universes[x].where(person), universes[y].where(person)
-        for family, weight in (("strong", 1), ("slip", 2)):
-            if across:
-                meet(keyed(left, family), keyed(right, family), weight)
-            else:
-                own = keyed(left, family)
-                same = own.withColumnRenamed("class", "a").join(own.withColumnRenamed("class", "b"), "key").where("a < b")
-                evidence.append(same.select("a", "b", F.lit(weight).alias("weight")))
-        for asked, flip in [(right, False), (left, True)][: 2 if across else 1]:
-            asking = right if flip else left
-            # A party without a full date meets those of its year; one without any date meets all.
-            for ask, answer, who, whom, weight in (("year", "year", no_full & dated, dated, 1), ("asking", "undated", ~dated, F.lit(True), 2)):
-                asks = keyed(asking.where(who), ask)
-                bits = spark.sparkContext.broadcast(asked_keys(asks))
-                meet(asks, keyed(asked.where(whom), answer, bits), weight)
-                if flip:
-                    evidence[-1] = turned(evidence[-1])
-    if not across:
-        companies = keyed(universes[LISTED].where(~person), "company")
-        same = companies.withColumnRenamed("class", "a").join(companies.withColumnRenamed("class", "b"), "key").where("a < b")
-        evidence.append(same.select("a", "b", F.lit(2).alias("weight")))
-    everything = evidence[0]
-    for part in evidence[1:]:
-        everything = everything.unionByName(part)
-    return everything.groupBy("a", "b").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= EVIDENCE).select("a", "b")
+                        heavy, light = make.dated(names, dates)
+                        answers = answering_keys(make, names, dates, countries)
+                    world = worlds[universe]
+                    for asks, keys, bit in ((1, heavy, 1), (1, light, 0), (0, answers[0], 1), (0, answers[1], 0)):
+                        if len(keys):
+                            key = np.fromiter(keys, np.uint64, len(keys)) if asks else keys
+                            key = ((key ^ np.uint64(world)) << np.uint64(1) | np.uint64(bit)).astype(np.int64)
+                            if not asks:
+                                at = key % FILTER_BITS
+                                key = key[(asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                            parts.append(key)
+                            owners.append((i, asks, len(key)))
+                if parts:
+                    at_rows, flags, sizes = (np.array(x) for x in zip(*owners))
+                    own = pa.array(np.repeat(at_rows, sizes))
+                    asking = pa.array(np.repeat(flags.astype(bool), sizes))
+                    yield pa.record_batch([pa.array(np.concatenate(parts)), batch.column(0).take(own), batch.column(1).take(own), asking], names=["key", "class", "universe", "asks"])
+
+        return rows.select("class", "universe", "facts").mapInArrow(run, schema)
+
+    asks = checkpointed(keyed(classes.where((F.col("kind") == "P") & ~F.col("full"))))
+    bits = spark.sparkContext.broadcast(asked_keys(asks))
+    keys = keyed(classes, bits).unionByName(asks)
+    left = keys.select("key", F.col("class").alias("a"), F.col("universe").alias("u"), F.col("asks").alias("p"))
+    right = keys.select("key", F.col("class").alias("b"), F.col("universe").alias("v"), F.col("asks").alias("q"))
+    if across:
+        pairs = left.where(F.col("u") == CLIENT).join(right.where(F.col("v") == LISTED), "key").where("p or q")
+    else:
+        pairs = left.where("p").join(right, "key").where("a <> b and (not q or a < b)").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    weight = F.lit(1) + F.col("key").bitwiseAND(1)
+    return pairs.groupBy("a", "b").agg(F.sum(weight).alias("weight")).where(F.col("weight") >= ENOUGH).select("a", "b")
 
 
 EQUAL, PARTLY, UNKNOWN, SLIP, DIFFERENT = 4, 3, 2, 1, 0
@@ -505,63 +565,78 @@ def numbers_agree(a: list[str], b: list[str]) -> int:
     return -1 if kinds else 0
 
 
-def name_agreement(kind: str, a: list[str], b: list[str], weight, masks: tuple[list[int], list[int]] | None = None) -> float:
-    """Best likeness of any two spellings. masks of their letter pairs, if given, rule out most at once."""
-    alike = person_likeness if kind == "P" else company_likeness
+#: Parties are taken as a sample of at least so many people: in a small table every name looks common or unique.
+POPULATION = 1_000
+#: Likeness below which a spelling meets many names of other people, and what a point below it takes off the evidence.
+LOOSE, LOOSE_COST = 0.9, 40.0
+#: Least share of common letter pairs, of the shorter spelling, for two spellings to be compared at all.
+NEAR = 0.34
+
+
+def name_agreement(kind: str, a: list[str], b: list[str], weight, common=lambda t: True, masks: tuple[list[int], list[int]] | None = None) -> tuple[float, float]:
+    """Best likeness of any two spellings, and best evidence. masks of their letter pairs, if given, rule out most at once."""
     if kind != "P":  # a spelling may lack the legal form, but two parties' forms may not differ
         forms_a, forms_b = ({t for n in names for t in n.split() if t[0] == "#"} for names in (a, b))
         if forms_a and forms_b and not forms_a & forms_b:
-            return 0.0
-    best = 0.0
+            return 0.0, 0.0
+    best = proof = 0.0
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             if masks:
                 m, n = masks[0][i], masks[1][j]
                 if (m & n).bit_count() < NEAR * min(m.bit_count(), n.bit_count()):
                     continue
-            best = max(best, alike(tuple(x.split()), tuple(y.split()), weight))
-            if best >= 0.995:
-                return best
-    return best
-
-
-#: Least share of common letter pairs, of the shorter spelling, for two spellings to be compared at all.
-NEAR = 0.34
+            if kind == "P":
+                value, found = person_agreement(tuple(x.split()), tuple(y.split()), weight, common)
+                proof = max(proof, found - LOOSE_COST * max(0.0, LOOSE - value) if value else 0.0)
+            else:
+                value = company_likeness(tuple(x.split()), tuple(y.split()), weight)
+            best = max(best, value)
+            if best >= 0.995 and kind != "P":
+                return best, 0.0
+    return best, proof
 
 
 @lru_cache(1 << 15)
 def _facts(text: str) -> list:
     kind, *lists = text.split("|")
-    names, masks, *others = (x.split(";") if x else [] for x in lists)
-    return [kind, names, [int(m, 16) for m in masks], *others]
+    names, masks, *others, shared = (x.split(";") if x else [] for x in lists)
+    return [kind, names, [int(m, 16) for m in masks], *others, {t: int(n) for t, n in (x.rsplit(":", 1) for x in shared)}]
 
 
-def compared(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, kind, name, dates, countries, numbers) of candidate pairs whose stated facts do not exclude each other.
+def compared(pairs: DataFrame, classes: DataFrame, nicknames: dict[str, frozenset[str]] | None = None) -> DataFrame:
+    """(a, b, kind, name, evidence, dates, countries, numbers) of candidate pairs whose stated facts do not exclude each other.
 
-    Facts that exclude are tested before names are compared. Weights are by rarity over all classes. What is known of a
-    party travels as one short text, as it is moved once for every pair.
+    Facts that exclude are tested before names are compared. A token weighs the logarithm of all parties over the others that
+    have it. `evidence` is the weight of what two persons' names share, less what their slips cost, less the logarithm of the
+    number of parties: minus the logarithm of how many parties would share as much by chance. What is known of a party
+    travels as one short text, as it is moved once for every pair.
     """
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(token_weights(classes))
+    shared = spark.sparkContext.broadcast((*token_counts(classes), nicknames or nickname_table()))
     known = classes.select("class", "facts")
-    schema = [("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string()), ("name", pa.float64()), ("dates", pa.int32()), ("countries", pa.int32()), ("numbers", pa.int32())]
+    schema = [("a", pa.int64()), ("b", pa.int64()), ("kind", pa.string()), ("name", pa.float64()), ("evidence", pa.float64()), ("dates", pa.int32()), ("countries", pa.int32()), ("numbers", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, other = shared.value
-        weight = lambda t: weights.get(t, other)
+        counts, total, short = shared.value
+        total = max(total, POPULATION)
+        use_nicknames(short)
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                (kind, na, ma, da, ca, ua), (kind_b, nb, mb, db, cb, ub) = _facts(x), _facts(y)
+                (kind, na, ma, da, ca, ua, ta), (kind_b, nb, mb, db, cb, ub, tb) = _facts(x), _facts(y)
                 if kind != kind_b or (countries := sets_agree(ca, cb)) < 0 or (dates := dates_agree(da, db)) == DIFFERENT or (numbers := numbers_agree(ua, ub)) < 0:
                     continue
-                name = name_agreement(kind, na, nb, weight, (ma, mb))
+
+                def weight(t: str) -> float:
+                    return math.log(total / max(0.5, (counts.get(t) or ta.get(t) or tb.get(t) or 1) - 1))
+
+                name, proof = name_agreement(kind, na, nb, weight, counts.__contains__, (ma, mb))
                 if name >= 0.5:
-                    rows.append((a, b, kind, name, dates, countries, numbers))
+                    rows.append((a, b, kind, name, proof - math.log(total), dates, countries, numbers))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), schema)], names=[n for n, _ in schema])
 
     left, right = known.select(F.col("class").alias("a"), F.col("facts").alias("x")), known.select(F.col("class").alias("b"), F.col("facts").alias("y"))
     sides = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return sides.mapInArrow(run, "a bigint, b bigint, kind string, name double, dates int, countries int, numbers int")
+    return sides.mapInArrow(run, "a bigint, b bigint, kind string, name double, evidence double, dates int, countries int, numbers int")

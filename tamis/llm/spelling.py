@@ -15,22 +15,49 @@ _GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a b g d
 ROMAN = {ord(k): v.strip("-") for k, v in {**_CYRILLIC, **_GREEK}.items()} | {ord(k): v for k, v in zip("øłđðþæœıħŧ", ["o", "l", "d", "d", "th", "ae", "oe", "i", "h", "t"])}
 LOOKALIKE = {ord(k): v for k, v in {**CYRILLIC, **GREEK}.items()}
 
-# Short names that are no beginnings of the full name.
-NICKNAMES = {
-    "aziz": "abdelaziz", "karim": "abdelkarim", "rahim": "abderrahim", "jandro": "alejandro", "sasha": "aleksandr", "nastya": "anastasia", "andi": "andreas",
-    "gus": "augustus", "barney": "barnaby", "bernd": "bernhard", "dan": "bogdan", "hilde": "brunhild", "cathy": "catherine", "kit": "christopher",
-    "concha": "concepcion", "connie": "constance", "chelo": "consuelo", "neil": "cornelius", "dima": "dmitri", "lola": "dolores", "lalo": "eduardo",
-    "katya": "ekaterina", "babeth": "elisabeth", "lisa": "elisabeth", "manu": "emmanuel", "quique": "enrique", "nando": "fernando", "paca": "francisca",
-    "paco": "francisco", "fanfan": "francoise", "freddy": "frederick", "rike": "friederike", "fritz": "friedrich", "fedya": "fyodor", "gabi": "gabriele",
-    "galya": "galina", "ginette": "genevieve", "gerry": "geraldine", "goyo": "gregorio", "grisha": "grigori", "lupe": "guadalupe", "will": "guillaume",
-    "memo": "guillermo", "gunni": "gunther", "heiner": "heinrich", "leni": "helene", "hettie": "henrietta", "nace": "ignace", "nacho": "ignacio",
-    "jochen": "joachim", "quino": "joaquin", "hanna": "johanna", "hannes": "johannes", "josie": "josephine", "jurg": "jurgen", "kathe": "katharina", "khady": "khadija",
-    "kostya": "konstantin", "lyuda": "lyudmila", "grete": "margarete", "margot": "marguerite", "matze": "matthias", "meche": "mercedes", "mimi": "meriem",
-    "misha": "mikhail", "monty": "montgomery", "kolya": "nikolai", "ksenia": "oksana", "lena": "olena", "pasha": "pavel", "pippa": "philippa", "roz": "rosamund",
-    "charo": "rosario", "basti": "sebastian", "seryozha": "sergei", "susi": "susanne", "sveta": "svetlana", "tari": "tarek", "tanya": "tatiana", "dora": "theodora",
-    "teddy": "theodore", "tima": "timofei", "uli": "ulrich", "uschi": "ursula", "valya": "valentina", "chente": "vicente", "wil": "walid", "willi": "wilhelm",
-    "mina": "wilhelmina", "minna": "wilhelmine", "slava": "yaroslav", "joe": "youssef", "zack": "zachary", "zizi": "zineb",
-}
+#: Short names that are no beginnings of the full name, each with the names it may stand for; a parameter of the operators
+#: (`nicknames`), to be replaced by a fuller resource where there is one.
+NICKNAMES_TEXT = """
+al albert alfred alan ali; alec alexander; alex alexander alexandra alexandre alejandro aleksandr; andi andreas andrea; andy andrew andrea; aziz abdelaziz; babeth elisabeth elizabeth; barney barnaby bernard; basti sebastian
+bea beatrice beatriz; becky rebecca; bernd bernhard; bert albert herbert robert; bess elizabeth; beth elizabeth; betty elizabeth beatrice; bill william; bob robert; bobby robert; cathy catherine; charlie charles charlotte
+charo rosario; chelo consuelo; chente vicente; chris christopher christine christian; chuck charles; concha concepcion; connie constance concepcion; conny cornelia constance; dan daniel bogdan; dave david; debby deborah
+dick richard; dima dmitri; dolly dorothy dolores; dora theodora dorothea; ed edward edmund edwin; eddie edward edmund edwin; ellie eleanor helen; fanfan francoise francois; fedya fyodor; frank francis franklin; franz francis
+freddy frederick frederic alfred; fritz friedrich; gabi gabriele gabriela; galya galina; gerd gerhard; gerry gerald geraldine; ginette genevieve; goyo gregorio; grete margarete; grisha grigori; gunni gunther; gus augustus august
+hank henry; hanna johanna; hannes johannes; hans johannes; harry henry harold; heiner heinrich; heinz heinrich; helmi wilhelmina; hettie henrietta; hilde brunhild hildegard mathilde; jack john; jandro alejandro; jim james
+jimmy james; jochen joachim; joe joseph youssef; johnny john; jojo joseph josephine; jopie josephine; josie josephine; jurg jurgen georg; karim abdelkarim; kate catherine katharina; kathe katharina; katya ekaterina; kerstin christine
+khady khadija; kit christopher katherine; kolya nikolai; kostya konstantin; ksenia oksana; lalo eduardo; larry lawrence; lena olena helena magdalena; leni helene magdalena; liesel elisabeth; lisa elisabeth elizabeth; liz elizabeth
+lola dolores; loulou louis louise; lupe guadalupe; lyuda lyudmila; maggie margaret; manolo manuel; manu emmanuel manuel; margot marguerite; marge margaret; matze matthias; meche mercedes; memo guillermo; mick michael; mike michael
+mimi meriem marie; mina wilhelmina; minna wilhelmine; misha mikhail; molly mary; monty montgomery; nace ignace ignacio; nacho ignacio; nando fernando; nastya anastasia; ned edward; neil cornelius; nelly helen eleanor; paca francisca
+paco francisco; paddy patrick; pasha pavel; peggy margaret; pepe jose; pippa philippa; polly mary; quino joaquin; quique enrique; rahim abderrahim; rick richard; rike friederike; rob robert; rolf rudolf; roz rosamund rosalind
+sally sarah; sasha aleksandr alexandra; sepp josef; seryozha sergei; slava yaroslav vyacheslav; susi susanne; sveta svetlana; tanya tatiana; tari tarek; ted edward theodore; teddy theodore edward; tilda mathilde; tima timofei
+toni anton antonia; tony anthony antonio; trudi gertrud; uli ulrich ulrike; uschi ursula; valya valentina; vanya ivan; volodya vladimir; wil walid william; will william wilhelm guillaume; willi wilhelm; yura yuri; zack zachary; zizi zineb
+"""
+
+
+def nickname_table(text: str = NICKNAMES_TEXT) -> dict[str, frozenset[str]]:
+    """Short name to the full names it may stand for, from lines of entries `short full full ...; ...`."""
+    table: dict[str, set[str]] = {}
+    for entry in re.split(r"[;\n]", text):
+        if words := entry.split():
+            table.setdefault(words[0], set()).update(words[1:])
+    return {k: frozenset(v) for k, v in table.items()}
+
+
+_nicknames: dict[str, frozenset[str]] = nickname_table()
+
+
+def use_nicknames(table: dict[str, frozenset[str]]) -> None:
+    """Make this process compare names by another table of short names."""
+    global _nicknames
+    if table != _nicknames:
+        _nicknames = table
+        likeness.cache_clear()
+
+
+def full_names(token: str) -> frozenset[str]:
+    return _nicknames.get(token, frozenset())
+
+
 # Linking parts of surnames.
 LINKS = frozenset("de la las los del della di da do dos du des le les el al ben bin ibn ould abu von van der den zu zum zur".split())
 # Legal forms, each with its spellings.
@@ -102,26 +129,27 @@ def _typed(a: str, b: str) -> float:
 
 
 @lru_cache(1 << 17)
-def likeness(a: str, b: str) -> float:
-    """How surely two tokens are spellings of one: 1 equal, 0 not."""
+def likeness(a: str, b: str, common: bool = True) -> float:
+    """How surely two tokens are spellings of one: 1 equal, 0 not. A beginning counts as a short form only of a common name:
+    given names are shared by many and cut short, surnames that begin alike are different ones."""
     if a == b:
         return 1.0
     if len(a) > len(b):
         a, b = b, a
     if a.isdigit() or b.isdigit():
         return 0.0
-    full = NICKNAMES.get(a)
+    full, other = full_names(a), full_names(b)
     if len(a) == 1:
-        return 0.7 if b[0] == a or NICKNAMES.get(b, " ")[0] == a else 0.0
-    if full == b or NICKNAMES.get(b) == a:
+        return 0.7 if b[0] == a or any(f[0] == a for f in other) else 0.0
+    if b in full or a in other:
         return 0.9
     if len(a) >= 3 and b.startswith(a):
-        return 0.9
+        return 0.9 if common else max(0.6, _typed(a, b))
     best = _typed(a, b)
     if best < 0.95:
         x, y = sound(a), sound(b)
         best = max(best, 0.97 if x == y else 0.97 * _typed(x, y))
-    if best < 0.8 and full and len(b) > 4 and edit_distance(full, b, 2) <= (2 if len(full) > 6 else 1):
+    if best < 0.8 and len(b) > 4 and any(edit_distance(f, b, 2) <= (2 if len(f) > 6 else 1) for f in full):
         best = 0.8
     if best < 0.65 and 3 <= len(a) <= 5 and len(b) > len(a) + 1 and edit_distance(a, b[: len(a)], 1) <= 1 and a[0] == b[0]:
         best = 0.65  # a short form with a slip
@@ -154,26 +182,33 @@ def _link(token: str) -> bool:
     return len(token) <= 4 and any(edit_distance(token, x, 1) <= 1 for x in LINKS if len(x) > 1)
 
 
-def person_likeness(a: tuple[str, ...], b: tuple[str, ...], weight) -> float:
-    """Soft weighted token similarity of two persons' names: every token of the shorter name needs a partner.
+def person_agreement(a: tuple[str, ...], b: tuple[str, ...], weight, common=lambda t: True) -> tuple[float, float]:
+    """Soft weighted token similarity of two persons' names, and its evidence: every token of the shorter name needs a partner.
 
-    weight(token) grows with rarity. 0 unless two tokens, at least one of them no initial, find partners.
-    Tokens left over in the longer name (middle names) cost a little; links count nothing.
+    weight(token) grows with rarity; the evidence is the sum of the weights of the tokens that found partners, each times
+    their likeness. 0 unless two tokens, at least one of them no initial, find partners. Tokens left over in the longer
+    name (middle names) cost a little; links count nothing. common(token) tells whether many parties have a token.
     """
     if set(a) == set(b) and len(a) > 1:
-        return 1.0
-    best = _aligned(a, b, weight)
-    if best < 0.8:
+        return 1.0, sum(weight(t) for t in set(a) if t not in LINKS)
+    best = _aligned(a, b, weight, common)
+    if best[0] < 0.8:
         # A blank typed into a word or left out between two.
         for x, y in ((a, b), (b, a)):
             for i in range(len(x) - 1):
                 glued = x[i] + x[i + 1]
                 if any(abs(len(glued) - len(t)) <= 2 and (glued[0] == t[0] or glued[-2:] == t[-2:]) and _typed(glued, t) >= 0.7 for t in y):
-                    best = max(best, _aligned((*x[:i], glued, *x[i + 2 :]), y, weight, glued) - 0.04)
+                    value, proof = _aligned((*x[:i], glued, *x[i + 2 :]), y, weight, common, glued)
+                    best = max(best, (value - 0.04, proof))
     return best
 
 
-def _aligned(a: tuple[str, ...], b: tuple[str, ...], weight, glued: str = "") -> float:
+def person_likeness(a: tuple[str, ...], b: tuple[str, ...], weight, common=lambda t: True) -> float:
+    """The similarity of `person_agreement` alone."""
+    return person_agreement(a, b, weight, common)[0]
+
+
+def _aligned(a: tuple[str, ...], b: tuple[str, ...], weight, common, glued: str = "") -> tuple[float, float]:
     x, y = _core(a), _core(b)
     if len(x) > len(y):
         x, y = y, x
@@ -183,13 +218,14 @@ def _aligned(a: tuple[str, ...], b: tuple[str, ...], weight, glued: str = "") ->
             y = shortened
     if len(x) < 2:
         p, q = "".join(x), "".join(y)
-        return 0.92 if len(p) > 7 and edit_distance(p, q, 2) <= 2 else 0.0
-    sims = [[_typed(s, t) if glued in (s, t) else likeness(s, t) for t in y] for s in x]
+        return (0.92, sum(map(weight, y))) if len(p) > 7 and edit_distance(p, q, 2) <= 2 else (0.0, 0.0)
+    sims = [[_typed(s, t) if glued in (s, t) else likeness(s, t, common(max(s, t, key=len))) for t in y] for s in x]
     if any(max(row) < 0.45 for row in sims) or not any(max(row) >= 0.5 and len(t) > 1 for row, t in zip(sims, x)):
-        return 0.0
+        return 0.0, 0.0
     weights = [weight(t) for t in x]
     cost = assigned([[w * (1 - s) if s else 3 * w for s in row] for w, row in zip(weights, sims)])
-    return 1 - cost / sum(weights) - 0.03 * min(len(y) - len(x), 2)
+    proof = sum(max(s * min(w, weight(t)) for s, t in zip(row, y)) for w, row in zip(weights, sims))
+    return 1 - cost / sum(weights) - 0.03 * min(len(y) - len(x), 2), proof
 
 
 def company_likeness(a: tuple[str, ...], b: tuple[str, ...], weight) -> float:
