@@ -33,11 +33,13 @@ Q = 3
 SHARES = {"date": 0.5, "company": 0.6}
 #: Common q-grams of the rare tokens that two companies must show in their prefixes.
 EVIDENCE = 3
-#: Weight that the shared keys of two persons must reach: a q-gram of the prefix with the full date, or both ends of a word, weighs 2; one end 1.
-ENOUGH = 2
+#: Weight that the shared keys of two parties must reach, and weight of a key: a rare q-gram with the full date, or both ends of a word
+#: beside another; one end of a rare word beside another; one end of a common word beside another, or of any word with a part of the date.
+ENOUGH = 3
+HEAVY, MIDDLE, LIGHT = 3, 2, 1
 #: A token in at least this part of the parties is common: there are at most (tokens per name) / part such tokens. Their frequencies
 #: are broadcast; those of all other tokens travel with the names that contain them.
-COMMON = 0.001
+COMMON = 0.0005
 #: Counters of the sketch that orders q-grams by frequency; of this size whatever the alphabet.
 GRAM_COUNTERS = 1 << 17
 #: Bits of the filter that tells which keys a party without a full date asks for. It has this size whatever their number, and only
@@ -289,7 +291,7 @@ def token_counts(classes: DataFrame) -> tuple[dict[str, int], int]:
     return {t: n for t, n in counts.where(F.col("count") >= common_from(total)).collect()}, total
 
 
-_BITS = (1 << 62) - 1
+_BITS = (1 << 61) - 1
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -357,6 +359,8 @@ class Keys:
     def __init__(self, counts: np.ndarray, common: set[str]):
         self.order = lru_cache(1 << 16)(lambda g: (int(counts[g % GRAM_COUNTERS]), g))
         self.common = {t for t in common if len(t) > 3}
+        self.starts = {t[:n] for t in self.common for n in range(3, min(len(t), 7) + 1)}
+        self.heads: dict[str, str | None] = {}
         self.near = {k: t for t in sorted(self.common) if len(t) > 5 for k in self._cut(t)}
 
     @staticmethod
@@ -368,16 +372,23 @@ class Keys:
 
     def head(self, token: str) -> str | None:
         """The first letters of the common token that a token is, perhaps with a slip or cut short; None for rare tokens."""
+        if token not in self.heads:
+            if len(self.heads) > 1 << 17:
+                self.heads.clear()
+            self.heads[token] = self._head(token)
+        return self.heads[token]
+
+    def _head(self, token: str) -> str | None:
         if token in self.common:
             return token[:3]
         if len(token) > 5:
             for k in sorted(self._cut(token)):
                 if k in self.near:
                     return self.near[k][:3]
-        return token[:3] if 3 <= len(token) <= 7 and any(t.startswith(token) for t in self.common) else None
+        return token[:3] if 3 <= len(token) <= 7 and token in self.starts else None
 
     def dated(self, names: list[str], dates: list[str]) -> tuple[set[int], set[int]]:
-        """(heavy, light) keys of full dates: a rare q-gram and the date; an end of a word and two parts of the date, for slips."""
+        """(HEAVY, LIGHT) keys of full dates: a rare q-gram and the date; an end of a word and two parts of the date, for slips."""
         full = [d for d in dates if d[6:] != "00"]
         if not full:
             return set(), set()
@@ -386,19 +397,19 @@ class Keys:
         heavy = {(_digits(d) * _FACTOR + g) & _BITS for d in full for g in rare}
         return heavy, {(p * _FACTOR + e) & _BITS for d in full for p in _date_parts(d) for e in outside}
 
-    @staticmethod
-    def sided(names: list[str]) -> set[int]:
-        """An end of a word with the initial or end of another; and both ends of the name without blanks, as two codes."""
-        found = set()
+    def sided(self, names: list[str]) -> tuple[set[int], set[int]]:
+        """(MIDDLE, LIGHT) codes of an end of a rare or common word with the initial or end of another; and of both ends of the name without blanks."""
+        rare, common = set(), set()
         for name in names:
             tokens = words_of(name)
             whole = sound("".join(tokens))
             around = whole[:Q] + whole[-Q:]
-            found.update((code("^" + around), code("$" + around)))
+            rare.update((code("^" + around), code("$" + around)))
             for i, t in enumerate(tokens):
-                e = ends(t)
-                found.update([(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other) for y in e])
-        return found
+                if e := ends(t):
+                    found = [(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other) for y in e]
+                    (rare if self.head(t) is None else common).update(found)
+        return rare, common
 
     @staticmethod
     def whole(names: list[str]) -> set[int]:
@@ -440,24 +451,23 @@ def asked_keys(keys: DataFrame) -> np.ndarray:
 _YEAR, _PLACE, _ANYWHERE, _PLACELESS = (code(x) for x in ("year", "place", "anywhere", "placeless"))
 
 
-def asking_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> tuple[set[int], set[int]]:
-    """(heavy, light) keys a person without a full date asks for: of its year, or else of its countries and of those without any."""
-    if dates:
-        sided = make.sided(names)
-        return set(), {mixed(_YEAR, code(y), s) for y in {d[:4] for d in dates} for s in sided}
-    light = {mixed(_PLACE, code(c), s) for s in (make.sided(names) if countries else ()) for c in countries}
-    return {mixed(_PLACELESS if countries else _ANYWHERE, w) for w in make.whole(names)}, light
+def asking_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> list[list[int]]:
+    """HEAVY, MIDDLE and LIGHT keys a person without a full date asks for: of its year, or else of its countries and of those without any."""
+    contexts = [mixed(_YEAR, code(y)) for y in {d[:4] for d in dates}] if dates else [mixed(_PLACE, code(c)) for c in countries]
+    anywhere = [] if dates else [_PLACELESS if countries else _ANYWHERE]
+    return _in_contexts(make, names, anywhere, contexts)
 
 
-def answering_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(heavy, light) keys with which any person answers those that ask."""
-    sided, whole = (np.array(list(s), np.uint64) for s in (make.sided(names), make.whole(names)))
+def answering_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> list[list[int]]:
+    """HEAVY, MIDDLE and LIGHT keys with which any person answers those that ask."""
     contexts = [mixed(_YEAR, code(y)) for y in {d[:4] for d in dates}] + [mixed(_PLACE, code(c)) for c in countries]
-    factor, bits = np.uint64(_FACTOR), np.uint64(_BITS)
-    with np.errstate(over="ignore"):
-        light = [(np.uint64(c) * factor + sided) & bits for c in contexts]
-        heavy = [(np.uint64(c) * factor + whole) & bits for c in ([_ANYWHERE] if countries else [_ANYWHERE, _PLACELESS])]
-    return np.concatenate(heavy), np.concatenate(light) if light else np.zeros(0, np.uint64)
+    return _in_contexts(make, names, [_ANYWHERE] if countries else [_ANYWHERE, _PLACELESS], contexts)
+
+
+def _in_contexts(make: Keys, names: list[str], anywhere: list[int], contexts: list[int]) -> list[list[int]]:
+    sided = make.sided(names) if contexts else ((), ())
+    parts = (make.whole(names) if anywhere else (), anywhere), (sided[0], contexts), (sided[1], contexts)
+    return [[c + x & _BITS for c in [c * _FACTOR for c in where] for x in codes] for codes, where in parts]
 
 
 def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, frozenset[str]] | None = None) -> DataFrame:
@@ -466,13 +476,12 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
     Persons with full dates meet by date and q-gram, or by parts of the date and ends of words. Only the few without pair by
     year or country with all others, so common names of people with known dates never meet without their dates. Companies meet
     by their rare tokens beside equal common ones. All keys of a party are made in one pass and join with themselves; the
-    lowest bit of a key tells that it is heavy (weighs 2).
+    two lowest bits of a key are its weight.
     """
     spark = classes.sparkSession
     counts, common = gram_counts(classes), set(token_counts(classes)[0])
     shared = spark.sparkContext.broadcast((counts, common, nicknames or nickname_table()))
     worlds = {u: 0 if across else code(u) for u in (CLIENT, LISTED)}
-    schema = "key bigint, class bigint, universe string, asks boolean"
 
     def keyed(rows: DataFrame, asked=None) -> DataFrame:
         """Keys of those that ask; with `asked`, the bits of their keys, all other keys."""
@@ -480,47 +489,49 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Keys(*shared.value[:2])
             use_nicknames(shared.value[2])
-            nothing = np.zeros(0, np.uint64)
             for batch in batches:
-                parts, owners = [], []
+                flat: list[int] = []
+                owners = []
                 for i, (universe, facts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                     kind, names, _, dates, countries, _, _ = (x.split(";") if x else [] for x in facts.split("|"))
-                    answers = (nothing, nothing)
                     if kind[0] != "P":
-                        heavy, light = (set() if asked is None else make.company(kind[0], names)), set()
+                        made = [(True, make.company(kind[0], names), MIDDLE)]
                     elif asked is None:
-                        heavy, light = asking_keys(make, names, dates, countries)
+                        made = [(True, keys, w) for keys, w in zip(asking_keys(make, names, dates, countries), (HEAVY, MIDDLE, LIGHT))]
                     else:
-                        heavy, light = make.dated(names, dates)
-                        answers = answering_keys(make, names, dates, countries)
+                        made = [(True, keys, w) for keys, w in zip(make.dated(names, dates), (HEAVY, LIGHT))]
+                        made += [(False, keys, w) for keys, w in zip(answering_keys(make, names, dates, countries), (HEAVY, MIDDLE, LIGHT))]
                     world = worlds[universe]
-                    for asks, keys, bit in ((1, heavy, 1), (1, light, 0), (0, answers[0], 1), (0, answers[1], 0)):
-                        if len(keys):
-                            key = np.fromiter(keys, np.uint64, len(keys)) if asks else keys
-                            key = ((key ^ np.uint64(world)) << np.uint64(1) | np.uint64(bit)).astype(np.int64)
-                            if not asks:
-                                at = key % FILTER_BITS
-                                key = key[(asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                            parts.append(key)
-                            owners.append((i, asks, len(key)))
-                if parts:
+                    for asks, keys, weight in made:
+                        if keys:
+                            flat += [(k ^ world) << 2 | weight for k in keys]
+                            owners.append((i, asks, len(keys)))
+                if flat:
                     at_rows, flags, sizes = (np.array(x) for x in zip(*owners))
-                    own = pa.array(np.repeat(at_rows, sizes))
-                    asking = pa.array(np.repeat(flags.astype(bool), sizes))
-                    yield pa.record_batch([pa.array(np.concatenate(parts)), batch.column(0).take(own), batch.column(1).take(own), asking], names=["key", "class", "universe", "asks"])
+                    keys, own, asking = np.array(flat, np.int64), np.repeat(at_rows, sizes), np.repeat(flags.astype(bool), sizes)
+                    if asked is not None:  # answers that nobody asks for stay here
+                        at = keys % FILTER_BITS
+                        kept = asking | ((asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+                        keys, own, asking = keys[kept], own[kept], asking[kept]
+                    yield pa.record_batch([pa.array(keys), batch.column(0).take(pa.array(own)), pa.array(asking)], names=["key", "class", "asks"])
 
-        return rows.select("class", "universe", "facts").mapInArrow(run, schema)
+        return rows.select("class", "universe", "facts").mapInArrow(run, "key bigint, class bigint, asks boolean")
 
     asks = checkpointed(keyed(classes.where((F.col("kind") == "P") & ~F.col("full"))))
     bits = spark.sparkContext.broadcast(asked_keys(asks))
-    keys = keyed(classes, bits).unionByName(asks)
-    left = keys.select("key", F.col("class").alias("a"), F.col("universe").alias("u"), F.col("asks").alias("p"))
-    right = keys.select("key", F.col("class").alias("b"), F.col("universe").alias("v"), F.col("asks").alias("q"))
+
+    def side(rows: DataFrame, name: str, flag: str, *universe: str) -> DataFrame:
+        known = asks.join(rows.select("class"), "class", "left_semi") if universe else asks
+        return keyed(rows, bits).unionByName(known).select("key", F.col("class").alias(name), F.col("asks").alias(flag))
+
     if across:
-        pairs = left.where(F.col("u") == CLIENT).join(right.where(F.col("v") == LISTED), "key").where("p or q")
+        left, right = (side(classes.where(F.col("universe") == u), n, f, u) for u, n, f in ((CLIENT, "a", "p"), (LISTED, "b", "q")))
+        pairs = left.join(right, "key").where("p or q")
     else:
-        pairs = left.where("p").join(right, "key").where("a <> b and (not q or a < b)").select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    weight = F.lit(1) + F.col("key").bitwiseAND(1)
+        # One condition over both sides, so that no filter makes the shuffles of the two sides different plans.
+        met = F.expr("CASE WHEN NOT p THEN false WHEN NOT q THEN a <> b ELSE a < b END")
+        pairs = side(classes, "a", "p").join(side(classes, "b", "q"), "key").where(met).select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    weight = F.col("key").bitwiseAND(3)
     return pairs.groupBy("a", "b").agg(F.sum(weight).alias("weight")).where(F.col("weight") >= ENOUGH).select("a", "b")
 
 
