@@ -2,8 +2,8 @@
 
 The sets are the q-grams of a spelling's tokens. Rare q-grams come first; two spellings with enough common q-grams share one
 within their prefixes, which is joined with each full birth date. Slips in a date, dates known in part and names without a date
-are joined by the outer q-grams of words by sound (their beginnings and ends) with the parts of the date, or with the country and
-a second word, so that common names meet only where the rest can agree.
+are joined by the outer q-grams of a word by sound (its beginning and end), for a common word with those of a second one, beside the parts
+of the date, or the country, so that common names meet only where the rest can agree.
 """
 
 from __future__ import annotations
@@ -30,13 +30,12 @@ CLIENT, LISTED = "C", "L"
 Q = 3
 #: Least share of common q-grams (of the larger set) by evidence: equal dates; and of the rare tokens of a company. Persons below the
 #: share of equal dates still meet by the outer q-grams of their words.
-SHARES = {"date": 0.5, "company": 0.6}
+SHARES = {"date": 0.4, "company": 0.5}
 #: Common q-grams of the rare tokens that two companies must show in their prefixes.
 EVIDENCE = 3
-#: Weight that the shared keys of two parties must reach, and weight of a key: a rare q-gram with the full date, or both ends of a word
-#: beside another; one end of a rare word beside another; one end of a common word beside another, or of any word with a part of the date.
+#: Weight that the shared keys of two parties must reach, and weight of a key of a person and of one of a company (two are needed).
 ENOUGH = 3
-HEAVY, MIDDLE, LIGHT = 3, 2, 1
+HEAVY, MIDDLE = 3, 2
 #: A token in at least this part of the parties is common: there are at most (tokens per name) / part such tokens. Their frequencies
 #: are broadcast; those of all other tokens travel with the names that contain them.
 COMMON = 0.0005
@@ -320,20 +319,17 @@ def heard(token: str) -> frozenset[str]:
 
 
 @lru_cache(1 << 16)
-def ends(token: str) -> tuple[int, ...]:
-    """Beginning and end by sound of a word, and of the names it is short for: a slip leaves one of them, if the word is not short. None of an initial."""
-    return tuple({code(e) for s in heard(token) for e in ("^" + s[:Q], s[-Q:] + "$")}) if len(token) > 1 else ()
-
-
-@lru_cache(1 << 16)
-def both_ends(token: str) -> tuple[int, ...]:
+def frame(token: str) -> tuple[int, ...]:
+    """Beginning and end by sound of a word, and of the names it may be short for. None of an initial."""
     return tuple({code(f"^{s[:Q]}-{s[-Q:]}$") for s in heard(token)}) if len(token) > 1 else ()
 
 
 @lru_cache(1 << 16)
-def outer(token: str) -> tuple[int, ...]:
-    """Initials of a word, and its end by sound (a slip may change its initial), unless it is an initial itself."""
-    return tuple({code(s[:1]) for s in heard(token)} | ({code(sound(token)[-Q:] + "$")} if len(token) > 1 else set()))
+def outer(token: str, letters: int) -> tuple[int, ...]:
+    """Beginning and, with a letter more, end by sound of a word (a slip leaves one of them), and of the names it may be short for. Of an
+    initial, one letter at most."""
+    sides = {("^" + s[:letters]) for s in heard(token)} | ({s[-letters - 1 :] + "$" for s in heard(token)} if len(token) > 1 else set())
+    return tuple({code(e) for e in sides}) if letters == 1 or len(token) > 1 else ()
 
 
 @lru_cache(1 << 16)
@@ -387,43 +383,38 @@ class Keys:
                     return self.near[k][:3]
         return token[:3] if 3 <= len(token) <= 7 and token in self.starts else None
 
-    def dated(self, names: list[str], dates: list[str]) -> tuple[set[int], set[int]]:
-        """(HEAVY, LIGHT) keys of full dates: a rare q-gram and the date; an end of a word and two parts of the date, for slips."""
-        full = [d for d in dates if d[6:] != "00"]
-        if not full:
-            return set(), set()
-        rare = {g for name in names for g in _prefix(self.ordered(name), SHARES["date"], 1)}
-        outside = {e for name in names for t in words_of(name) for e in ends(t)}
-        heavy = {(_digits(d) * _FACTOR + g) & _BITS for d in full for g in rare}
-        return heavy, {(p * _FACTOR + e) & _BITS for d in full for p in _date_parts(d) for e in outside}
-
-    def sided(self, names: list[str]) -> tuple[set[int], set[int]]:
-        """(MIDDLE, LIGHT) codes of an end of a rare or common word with the initial or end of another; and of both ends of the name without blanks."""
-        rare, common = set(), set()
-        for name in names:
-            tokens = words_of(name)
-            whole = sound("".join(tokens))
-            around = whole[:Q] + whole[-Q:]
-            rare.update((code("^" + around), code("$" + around)))
-            for i, t in enumerate(tokens):
-                if e := ends(t):
-                    found = [(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other) for y in e]
-                    (rare if self.head(t) is None else common).update(found)
-        return rare, common
-
-    @staticmethod
-    def whole(names: list[str]) -> set[int]:
-        """Both ends of a word with the initial or end of another, and both ends of the name without blanks."""
+    def framed(self, names: list[str]) -> set[int]:
+        """The frame of each word with the initial or end of another, for a common word with more of it; and of the name without blanks."""
         found = set()
         for name in names:
             tokens = words_of(name)
             joined = sound("".join(tokens))
             found.add(code("=" + joined[:Q] + joined[-Q:]))
             for i, t in enumerate(tokens):
-                e = both_ends(t)
-                found.update([(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other) for y in e])
+                letters = 1 if self.head(t) is None else Q
+                found.update([(x * _FACTOR + y) & _BITS for j, other in enumerate(tokens) if i != j for x in outer(other, letters) for y in frame(t)])
         return found
 
+    def keys(self, names: list[str], dates: list[str], countries: list[str]) -> tuple[list[int], list[int]]:
+        """Keys of a person that ask, and that only answer.
+
+        With full dates it asks by a rare q-gram and the date, and by its frames and two parts of the date, for slips. Without, by its
+        frames and its year, or else each country (and anywhere among those that state none). It answers by its frames and years,
+        countries and anywhere.
+        """
+        framed = self.framed(names)
+        full = [d for d in dates if d[6:] != "00"]
+        rare = {g for name in names for g in _prefix(self.ordered(name), SHARES["date"], 1)} if full else ()
+        years, places = [mixed(_YEAR, code(y)) for y in {d[:4] for d in dates}], [mixed(_PLACE, code(c)) for c in countries]
+        if full:
+            asked = [p for d in full for p in _date_parts(d)]
+        else:
+            asked = years or [*places, _PLACELESS if countries else _ANYWHERE]
+        answered = {*years, *places, _ANYWHERE, *(() if countries else (_PLACELESS,))} - set(asked)
+        asks = [c + x & _BITS for c in [_digits(d) * _FACTOR for d in full] for x in rare]
+        asks += [c + x & _BITS for c in [c * _FACTOR for c in asked] for x in framed]
+        return asks, [c + x & _BITS for c in [c * _FACTOR for c in answered] for x in framed]
+
     def company(self, kind: str, names: list[str]) -> set[int]:
         """Keys of two q-grams of the rare tokens, with the heads of the common ones."""
         keys: set[int] = set()
@@ -451,25 +442,6 @@ def asked_keys(keys: DataFrame) -> np.ndarray:
 _YEAR, _PLACE, _ANYWHERE, _PLACELESS = (code(x) for x in ("year", "place", "anywhere", "placeless"))
 
 
-def asking_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> list[list[int]]:
-    """HEAVY, MIDDLE and LIGHT keys a person without a full date asks for: of its year, or else of its countries and of those without any."""
-    contexts = [mixed(_YEAR, code(y)) for y in {d[:4] for d in dates}] if dates else [mixed(_PLACE, code(c)) for c in countries]
-    anywhere = [] if dates else [_PLACELESS if countries else _ANYWHERE]
-    return _in_contexts(make, names, anywhere, contexts)
-
-
-def answering_keys(make: Keys, names: list[str], dates: list[str], countries: list[str]) -> list[list[int]]:
-    """HEAVY, MIDDLE and LIGHT keys with which any person answers those that ask."""
-    contexts = [mixed(_YEAR, code(y)) for y in {d[:4] for d in dates}] + [mixed(_PLACE, code(c)) for c in countries]
-    return _in_contexts(make, names, [_ANYWHERE] if countries else [_ANYWHERE, _PLACELESS], contexts)
-
-
-def _in_contexts(make: Keys, names: list[str], anywhere: list[int], contexts: list[int]) -> list[list[int]]:
-    sided = make.sided(names) if contexts else ((), ())
-    parts = (make.whole(names) if anywhere else (), anywhere), (sided[0], contexts), (sided[1], contexts)
-    return [[c + x & _BITS for c in [c * _FACTOR for c in where] for x in codes] for codes, where in parts]
-
-
 def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, frozenset[str]] | None = None) -> DataFrame:
     """(a, b): pairs of classes with common keys; within one universe, or across both (a a client, b listed).
 
@@ -484,7 +456,7 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
     worlds = {u: 0 if across else code(u) for u in (CLIENT, LISTED)}
 
     def keyed(rows: DataFrame, asked=None) -> DataFrame:
-        """Keys of those that ask; with `asked`, the bits of their keys, all other keys."""
+        """Keys that ask; with `asked`, the bits of those of parties without a full date, also the keys that answer them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             make = Keys(*shared.value[:2])
@@ -496,11 +468,9 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
                     kind, names, _, dates, countries, _, _ = (x.split(";") if x else [] for x in facts.split("|"))
                     if kind[0] != "P":
                         made = [(True, make.company(kind[0], names), MIDDLE)]
-                    elif asked is None:
-                        made = [(True, keys, w) for keys, w in zip(asking_keys(make, names, dates, countries), (HEAVY, MIDDLE, LIGHT))]
                     else:
-                        made = [(True, keys, w) for keys, w in zip(make.dated(names, dates), (HEAVY, LIGHT))]
-                        made += [(False, keys, w) for keys, w in zip(answering_keys(make, names, dates, countries), (HEAVY, MIDDLE, LIGHT))]
+                        asks, answers = make.keys(names, dates, countries)
+                        made = [(True, asks, HEAVY), (False, answers, HEAVY)]
                     world = worlds[universe]
                     for asks, keys, weight in made:
                         if keys:
@@ -509,23 +479,20 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
                 if flat:
                     at_rows, flags, sizes = (np.array(x) for x in zip(*owners))
                     keys, own, asking = np.array(flat, np.int64), np.repeat(at_rows, sizes), np.repeat(flags.astype(bool), sizes)
-                    if asked is not None:  # answers that nobody asks for stay here
-                        at = keys % FILTER_BITS
-                        kept = asking | ((asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-                        keys, own, asking = keys[kept], own[kept], asking[kept]
+                    at = keys % FILTER_BITS  # answers that nobody asks for stay here
+                    kept = asking | ((asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) if asked is not None else asking
+                    keys, own, asking = keys[kept], own[kept], asking[kept]
                     yield pa.record_batch([pa.array(keys), batch.column(0).take(pa.array(own)), pa.array(asking)], names=["key", "class", "asks"])
 
         return rows.select("class", "universe", "facts").mapInArrow(run, "key bigint, class bigint, asks boolean")
 
-    asks = checkpointed(keyed(classes.where((F.col("kind") == "P") & ~F.col("full"))))
-    bits = spark.sparkContext.broadcast(asked_keys(asks))
+    bits = spark.sparkContext.broadcast(asked_keys(keyed(classes.where((F.col("kind") == "P") & ~F.col("full")))))
 
-    def side(rows: DataFrame, name: str, flag: str, *universe: str) -> DataFrame:
-        known = asks.join(rows.select("class"), "class", "left_semi") if universe else asks
-        return keyed(rows, bits).unionByName(known).select("key", F.col("class").alias(name), F.col("asks").alias(flag))
+    def side(rows: DataFrame, name: str, flag: str) -> DataFrame:
+        return keyed(rows, bits).select("key", F.col("class").alias(name), F.col("asks").alias(flag))
 
     if across:
-        left, right = (side(classes.where(F.col("universe") == u), n, f, u) for u, n, f in ((CLIENT, "a", "p"), (LISTED, "b", "q")))
+        left, right = (side(classes.where(F.col("universe") == u), n, f) for u, n, f in ((CLIENT, "a", "p"), (LISTED, "b", "q")))
         pairs = left.join(right, "key").where("p or q")
     else:
         # One condition over both sides, so that no filter makes the shuffles of the two sides different plans.
