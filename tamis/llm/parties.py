@@ -30,7 +30,7 @@ CLIENT, LISTED = "C", "L"
 Q = 3
 #: Least share of common q-grams (of the larger set) by evidence: equal dates; and of the rare tokens of a company. Persons below the
 #: share of equal dates still meet by the outer q-grams of their words.
-SHARES = {"date": 0.4, "company": 0.5}
+SHARES = {"date": 0.5, "company": 0.5}
 #: Common q-grams of the rare tokens that two companies must show in their prefixes.
 EVIDENCE = 3
 #: Weight that the shared keys of two parties must reach, and weight of a key of a person and of one of a company (two are needed).
@@ -109,7 +109,9 @@ def texts_of(value: object, inside: tuple[str, ...] = ("name", "variants", "code
     return []
 
 
+@lru_cache(1 << 15)
 def parsed_json(text: str | None) -> object:
+    """The value of JSON text, also of JSON inside a JSON string; None if it is not valid. Not to be changed by the caller."""
     for _ in range(4):
         if not isinstance(text, str):
             return text
@@ -547,11 +549,12 @@ def numbers_agree(a: list[str], b: list[str]) -> int:
 POPULATION = 1_000
 #: Likeness below which a spelling meets many names of other people, and what a point below it takes off the evidence.
 LOOSE, LOOSE_COST = 0.9, 40.0
-#: Least share of common letter pairs, of the shorter spelling, for two spellings to be compared at all.
-NEAR = 0.34
+#: Least share of common letter pairs, of the shorter spelling, for two spellings to be compared at all: with equal dates, and else, where
+#: more of a name must agree.
+NEAR, NEARER = 0.34, 0.5
 
 
-def name_agreement(kind: str, a: list[str], b: list[str], weight, common=lambda t: True, masks: tuple[list[int], list[int]] | None = None) -> tuple[float, float]:
+def name_agreement(kind: str, a: list[str], b: list[str], weight, common=lambda t: True, masks: tuple[list[int], list[int]] | None = None, near: float = NEAR) -> tuple[float, float]:
     """Best likeness of any two spellings, and best evidence. masks of their letter pairs, if given, rule out most at once."""
     if kind != "P":  # a spelling may lack the legal form, but two parties' forms may not differ
         forms_a, forms_b = ({t for n in names for t in n.split() if t[0] == "#"} for names in (a, b))
@@ -562,7 +565,7 @@ def name_agreement(kind: str, a: list[str], b: list[str], weight, common=lambda
         for j, y in enumerate(b):
             if masks:
                 m, n = masks[0][i], masks[1][j]
-                if (m & n).bit_count() < NEAR * min(m.bit_count(), n.bit_count()):
+                if (m & n).bit_count() < near * min(m.bit_count(), n.bit_count()):
                     continue
             if kind == "P":
                 value, found = person_agreement(tuple(x.split()), tuple(y.split()), weight, common)
@@ -609,7 +612,7 @@ def compared(pairs: DataFrame, classes: DataFrame, nicknames: dict[str, frozense
                 def weight(t: str) -> float:
                     return math.log(total / max(0.5, (counts.get(t) or ta.get(t) or tb.get(t) or 1) - 1))
 
-                name, proof = name_agreement(kind, na, nb, weight, counts.__contains__, (ma, mb))
+                name, proof = name_agreement(kind, na, nb, weight, counts.__contains__, (ma, mb), NEAR if dates == EQUAL or numbers > 0 or kind != "P" else NEARER)
                 if name >= 0.5:
                     rows.append((a, b, kind, name, proof - math.log(total), dates, countries, numbers))
             if rows:

@@ -103,6 +103,7 @@ def company_tokens(text: str) -> tuple[str, ...]:
     return (*(t for t in tokens if t), *(f"#{f}" for f in forms[-1:]))
 
 
+@lru_cache(1 << 15)
 def spellings(text: str | None, company: bool) -> list[tuple[str, ...]]:
     """Token tuples of a name; a second name in parentheses is a spelling of its own."""
     if not text:
@@ -178,6 +179,7 @@ def _core(tokens: tuple[str, ...]) -> list[str]:
     return core if core else list(tokens)
 
 
+@lru_cache(1 << 16)
 def _link(token: str) -> bool:
     return len(token) <= 4 and any(edit_distance(token, x, 1) <= 1 for x in LINKS if len(x) > 1)
 
@@ -219,8 +221,14 @@ def _aligned(a: tuple[str, ...], b: tuple[str, ...], weight, common, glued: str
     if len(x) < 2:
         p, q = "".join(x), "".join(y)
         return (0.92, sum(map(weight, y))) if len(p) > 7 and edit_distance(p, q, 2) <= 2 else (0.0, 0.0)
-    sims = [[_typed(s, t) if glued in (s, t) else likeness(s, t, common(max(s, t, key=len))) for t in y] for s in x]
-    if any(max(row) < 0.45 for row in sims) or not any(max(row) >= 0.5 and len(t) > 1 for row, t in zip(sims, x)):
+    x = sorted(x, key=len, reverse=True)  # long words tell different names apart soonest
+    sims = []
+    for s in x:
+        row = [_typed(s, t) if glued in (s, t) else likeness(s, t, common(s if len(s) > len(t) else t)) for t in y]
+        if max(row) < 0.45:
+            return 0.0, 0.0
+        sims.append(row)
+    if not any(max(row) >= 0.5 and len(t) > 1 for row, t in zip(sims, x)):
         return 0.0, 0.0
     weights = [weight(t) for t in x]
     cost = assigned([[w * (1 - s) if s else 3 * w for s in row] for w, row in zip(weights, sims)])
