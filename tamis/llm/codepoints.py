@@ -123,8 +123,9 @@ def consistent_texts(texts: DataFrame) -> DataFrame:
     keyed = texts.select("key", "text").where("text <> ''")
     # A word is a run of letters, marks and invisible characters; everything else stands between words.
     pieces = keyed.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}\p{Cf}]+|[^\p{L}\p{M}\p{Cf}]+"), F.lit(0))).alias("piece", "content"))
+    # By number, as a text grows thirtyfold here and sizes before say little about the tasks after.
     chars = (
-        pieces.repartition("key")
+        pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
         .select("key", "piece", F.posexplode(F.regexp_extract_all("content", F.lit("(?s)."), F.lit(0))).alias("at", "ch"))
         .join(F.broadcast(character_table(spark)), F.expr("ascii(ch)") == F.col("cp"), "left")
     )

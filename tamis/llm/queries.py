@@ -69,6 +69,16 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture(sized, table(spark, d, "mixture_targets"))
 
 
+def p9_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Budgets of the mixes down a tree of domains, languages and sources, for a total of half of all tokens: sources that cannot give
+    their part leave the rest to siblings, then to other domains. A domain is the first word of the sources' names."""
+    sized = checkpointed(sized_documents(table(spark, d, "documents")))
+    domains = sized.select("source", F.split_part("source", F.lit("_"), F.lit(1)).alias("domain")).distinct()
+    total = sized.agg(F.sum("tokens")).first()[0] or 0
+    targets = table(spark, d, "mixture_targets")
+    return actual_shares(mixture(sized, targets, F.lit(total / 2), domains), targets)
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual shares of the mixes."""
     return actual_shares(p9_mixture(spark, d), table(spark, d, "mixture_targets"))
@@ -79,7 +89,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_documents(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent_names, p5_found, p5_confidences, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_shares, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_consistent_names, p5_found, p5_confidences, p7_found, p8_found, p8_leaked_items, p9_mixture, p9_tree, p9_shares, p10_pieces)}
 _STRICT = "".join(c for c in [*CYRILLIC, *GREEK] if c not in LOOSE)
 _NAMES_SQL = "SELECT 'client_entities' AS table_name, id, client_company_name AS n FROM client_entities UNION ALL SELECT 'watchlist_entities', id, primary_name FROM watchlist_entities"
 
