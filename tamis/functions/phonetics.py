@@ -53,17 +53,19 @@ def _c(w: _Word, i: int) -> tuple[str, str, int]:
         return _both("K" if i == 0 and greek else "X", 2)
     if w.has(i, "CZ") and not w.has(i - 2, "WICZ"):
         return "S", "X", 2
-    if w.has(i + 1, "CIA"):
+    if w.has(i, "CIA"):
         return _both("X", 3)
     if w.has(i, "CC") and not (i == 1 and w.at(0) == "M"):
         if follows in ("I", "E", "H") and follows and not w.has(i + 2, "HU"):
             hard = i == 1 and w.at(0) == "A" or w.has(i - 1, "UCCEE", "UCCES")
             return _both("KS" if hard else "X", 3)
         return _both("K", 2)
-    if w.has(i, "CK", "CG", "CQ"):
+    if w.has(i, "CK", "CG", "CX"):
         return _both("K", 2)
     if w.has(i, "CI", "CE", "CY"):
         return _both("S", 2)
+    if w.has(i, "CQ"):
+        return _both("K", 3)
     return _both("K", 2 if w.at(i + 1) == "C" and not w.has(i + 1, "CE", "CI") else 1)
 
 
@@ -86,10 +88,10 @@ def _g(w: _Word, i: int) -> tuple[str, str, int]:
             return _both("F", 2)
         return _both("K" if w.at(i - 1) != "I" else "", 2)
     if n == "N":
-        if i == 1 and w.vowel(0):
-            return "KN", "N", 2
-        return ("N", "KN", 2) if not w.has(i + 2, "EY") else _both("KN", 2)
-    if n == "L" and w.vowel(i + 2) and i > 0:
+        if w.vowel(i + 2):
+            return _both("KN", 2)
+        return ("KN", "N", 2) if i == 1 and w.vowel(0) else ("N", "KN", 2)
+    if n == "L" and w.vowel(i + 2):
         return "KL", "L", 2
     if n in ("E", "I", "Y"):
         return "K", "J", 2
@@ -97,14 +99,13 @@ def _g(w: _Word, i: int) -> tuple[str, str, int]:
 
 
 def _j(w: _Word, i: int) -> tuple[str, str, int]:
-    step = 2 if w.at(i + 1) == "J" else 1
     if w.has(i, "JOSE"):
-        return _both("H", step)
+        return _both("H", 1)
     if i == 0:
-        return "J", "A", step
+        return "J", "A", 1
     if w.vowel(i - 1) and not w.vowel(i + 1):
-        return "J", "H", step
-    return _both("J", step)
+        return "J", "H", 1
+    return _both("J", 2 if w.at(i + 1) == "J" else 1)
 
 
 def _s(w: _Word, i: int) -> tuple[str, str, int]:
@@ -145,12 +146,12 @@ def _rule(w: _Word, i: int) -> tuple[str, str, int]:
         silent_b = n == "B" and (i + 2 == len(w.text) or w.has(i + 2, "ER"))
         return _both("M", 2 if n == "M" or silent_b else 1)
     if letter == "P":
-        return _both("F", 2) if n == "H" else _both("P", 2 if n in ("P", "B") and n else 1)
+        return _both("F", 2) if n == "H" else _both("P", 2 if n == "P" else 1)
     if letter == "Q":
         return _both("K", 2 if n == "Q" else 1)
     if letter == "X":
         french = i == len(w.text) - 1 and (w.has(i - 1, "I", "E") or w.has(i - 2, "AU", "OU"))
-        return _both("" if french else "KS", 2 if n in ("C", "X") and n else 1)
+        return _both("" if french else "KS", 1)
     return {"C": _c, "D": _d, "G": _g, "J": _j, "S": _s, "T": _t, "W": _w}[letter](w, i)
 
 

@@ -1,9 +1,14 @@
-"""String similarities, as plain Python over pairs; the vectorised columns are in tamis.functions.columns."""
+"""String similarities: plain Python over pairs, and one column of all of them over distinct pairs of a batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @lru_cache(1 << 16)
 def _letters(text: str) -> int:
@@ -172,3 +177,21 @@ def token_set(a: str, b: str) -> float:
         return edit_similarity(a, b)
     one, two = (" ".join(filter(None, (common, " ".join(sorted(s - (x & y)))))) for s in (x, y))
     return max(edit_similarity(common, one), edit_similarity(common, two), edit_similarity(one, two))
+
+
+def similarities(a: Column, b: Column) -> Column:
+    """struct<jaro, jaro_winkler, edit, token_sort, token_set> of two texts, 0 to 100; null if one is null."""
+    measures = {"jaro": jaro, "jaro_winkler": jaro_winkler, "edit": edit_similarity, "token_sort": token_sort, "token_set": token_set}
+    kind = pa.struct([(name, pa.float64()) for name in measures])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x, y in batches:
+            known: dict = {}
+            out = []
+            for p in zip(x.to_pylist(), y.to_pylist()):
+                if p not in known:
+                    known[p] = None if None in p else {name: f(*p) for name, f in measures.items()}
+                out.append(known[p])
+            yield pa.array(out, kind)
+
+    return F.arrow_udf(run, ", ".join(f"{name} double" for name in measures))(a, b)

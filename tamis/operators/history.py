@@ -117,6 +117,16 @@ def merge_history(changes: DataFrame, current: DataFrame | None = None) -> DataF
     return kept.select(*versions.columns).unionByName(initial).unionByName(versions)
 
 
+def opening_versions(changes: DataFrame) -> DataFrame:
+    """The history before any change: per entity and field one open version, which holds the old value of the first change.
+
+    To be merged with the changes as `current` of merge_history(). Reduced before the shuffle, so a busy key costs little.
+    """
+    first = changes.groupBy("entity_id", "field").agg(F.min_by(F.struct("old_value"), "changed_at").alias("opening"))
+    never = F.lit(None).cast(changes.schema["changed_at"].dataType)
+    return first.select("entity_id", "field", F.lit(1).alias("version_no"), F.col("opening.old_value").alias("value"), never.alias("valid_from"), never.alias("valid_to"))
+
+
 def stamped(history: DataFrame) -> DataFrame:
     """The history with its times as text, '' where there is none."""
     text = lambda c: F.coalesce(F.date_format(c, STAMP), F.lit("")).alias(c)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamis.operators.history import journal_changes, merge_history, stamped
+from tamis.operators.history import journal_changes, merge_history, opening_versions, stamped
 from tamis.operators.nested import SHAPES, node_table, text_items
 from tamis.operators.snapshot_cells import delivery_chain, snapshot_changes
-from tamis.session import clean_id, table
+from tamis.session import checkpointed, clean_id, table
+
+#: Kinds of nodes that have children.
+PARENTS = ("object", "array")
 
 
 def _fields(*names: str) -> dict[str, Column]:
@@ -50,9 +53,21 @@ def p4_node_tables(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p4_linked_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Objects, lists and values of the nested columns as tables of their own, parents and children linked by their intervals, counted by kind."""
+    nodes = checkpointed(node_table(table(spark, d, "watchlist_entities"), ["aliases", "countries", "individual_name_parsed"]))
+    links = None
+    for kind in PARENTS:
+        parent = nodes.where(F.col("kind") == kind).select("id", "column", F.col("pre").alias("p_pre"), F.col("post").alias("p_post"), (F.col("depth") + 1).alias("depth"), F.lit(kind).alias("parent_kind"))
+        found = nodes.select("id", "column", "depth", "pre", "post", F.col("kind").alias("child_kind")).join(parent, ["id", "column", "depth"]).where("pre > p_pre and post <= p_post")
+        links = found if links is None else links.unionByName(found)
+    return links.groupBy("column", "parent_kind", "child_kind").agg(F.count("*").alias("links"), F.countDistinct("id").alias("rows"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every version of every field of every entity with its period."""
-    history = merge_history(journal_changes(table(spark, d, "watchlist_entity_changes")))
+    """Every version of every field of every entity with its period: the changes merged into the opening versions."""
+    changes = journal_changes(table(spark, d, "watchlist_entity_changes"))
+    history = merge_history(changes, opening_versions(changes))
     return stamped(history).select("entity_id", "field", "version_no", "valid_from", "valid_to")
 
 
@@ -64,7 +79,7 @@ def p6_merged_batches(spark: SparkSession, d: str) -> DataFrame:
     return stamped(merge_history(changes.where(F.col("changed_at") >= cut), first))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_changed_fields, p4_found, p4_node_tables, p6_found, p6_merged_batches)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_changed_fields, p4_found, p4_node_tables, p4_linked_nodes, p6_found, p6_merged_batches)}
 
 _TRIM = r"nullif(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '')"
 _CHAIN = f"""
