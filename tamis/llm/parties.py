@@ -43,7 +43,7 @@ COMMON = 0.0005
 GRAM_COUNTERS = 1 << 17
 #: Bits of the filter that tells which keys a party without a full date asks for. It has this size whatever their number, and only
 #: saves the shuffle of keys that meet none.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 25
 _FOLD = 1 << 15  # bits of one bitmap of bitmap_construct_agg
 #: Languages whose names of countries are read.
 LANGUAGES = ("en", "fr", "de", "es", "it", "pt", "nl")
@@ -293,6 +293,7 @@ def token_counts(classes: DataFrame) -> tuple[dict[str, int], int]:
 
 
 _BITS = (1 << 61) - 1
+PLACES, ASKS = 61, 61  # bits of the countries in a tag, and the bit that tells that its key asks
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -450,7 +451,8 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
     Persons with full dates meet by date and q-gram, or by parts of the date and ends of words. Only the few without pair by
     year or country with all others, so common names of people with known dates never meet without their dates. Companies meet
     by their rare tokens beside equal common ones. All keys of a party are made in one pass and join with themselves; the
-    two lowest bits of a key are its weight.
+    two lowest bits of a key are its weight; its tag tells whether it asks and, as bits, the party's countries, so that parties whose
+    countries differ never become a pair.
     """
     spark = classes.sparkSession
     counts, common = gram_counts(classes), set(token_counts(classes)[0])
@@ -477,28 +479,32 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
                     for asks, keys, weight in made:
                         if keys:
                             flat += [(k ^ world) << 2 | weight for k in keys]
-                            owners.append((i, asks, len(keys)))
+                            owners.append((i, asks, len(keys), sum({1 << code(c) % PLACES for c in countries})))
                 if flat:
-                    at_rows, flags, sizes = (np.array(x) for x in zip(*owners))
+                    at_rows, flags, sizes, places = (np.array(x) for x in zip(*owners))
+                    tags = np.repeat(places.astype(np.int64) | flags.astype(np.int64) << ASKS, sizes)
                     keys, own, asking = np.array(flat, np.int64), np.repeat(at_rows, sizes), np.repeat(flags.astype(bool), sizes)
                     at = keys % FILTER_BITS  # answers that nobody asks for stay here
                     kept = asking | ((asked.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1) if asked is not None else asking
-                    keys, own, asking = keys[kept], own[kept], asking[kept]
-                    yield pa.record_batch([pa.array(keys), batch.column(0).take(pa.array(own)), pa.array(asking)], names=["key", "class", "asks"])
+                    yield pa.record_batch([pa.array(keys[kept]), batch.column(0).take(pa.array(own[kept])), pa.array(tags[kept])], names=["key", "class", "tag"])
 
-        return rows.select("class", "universe", "facts").mapInArrow(run, "key bigint, class bigint, asks boolean")
+        return rows.select("class", "universe", "facts").mapInArrow(run, "key bigint, class bigint, tag bigint")
 
     bits = spark.sparkContext.broadcast(asked_keys(keyed(classes.where((F.col("kind") == "P") & ~F.col("full")))))
 
     def side(rows: DataFrame, name: str, flag: str) -> DataFrame:
-        return keyed(rows, bits).select("key", F.col("class").alias(name), F.col("asks").alias(flag))
+        return keyed(rows, bits).select("key", F.col("class").alias(name), F.col("tag").alias(flag))
+
+    all_places = (1 << PLACES) - 1
+    agree = f"(p & q & {all_places}L <> 0 OR p & {all_places}L = 0 OR q & {all_places}L = 0)"
+    p_asks, q_asks = (f"shiftright({x}, {ASKS}) = 1" for x in "pq")
 
     if across:
         left, right = (side(classes.where(F.col("universe") == u), n, f) for u, n, f in ((CLIENT, "a", "p"), (LISTED, "b", "q")))
-        pairs = left.join(right, "key").where("p or q")
+        pairs = left.join(right, "key").where(f"({p_asks} OR {q_asks}) AND {agree}")
     else:
         # One condition over both sides, so that no filter makes the shuffles of the two sides different plans.
-        met = F.expr("CASE WHEN NOT p THEN false WHEN NOT q THEN a <> b ELSE a < b END")
+        met = F.expr(f"CASE WHEN NOT {p_asks} OR NOT {agree} THEN false WHEN NOT {q_asks} THEN a <> b ELSE a < b END")
         pairs = side(classes, "a", "p").join(side(classes, "b", "q"), "key").where(met).select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     weight = F.col("key").bitwiseAND(3)
     return pairs.groupBy("a", "b").agg(F.sum(weight).alias("weight")).where(F.col("weight") >= ENOUGH).select("a", "b")
