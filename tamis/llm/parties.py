@@ -490,9 +490,12 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
 
         return rows.select("class", "universe", "facts").mapInArrow(run, "key bigint, class bigint, tag bigint")
 
-    bits = spark.sparkContext.broadcast(asked_keys(keyed(classes.where((F.col("kind") == "P") & ~F.col("full")))))
+    asking = classes.where((F.col("kind") == "P") & ~F.col("full"))
 
-    def side(rows: DataFrame, name: str, flag: str) -> DataFrame:
+    def asked_by(rows: DataFrame):
+        return spark.sparkContext.broadcast(asked_keys(keyed(rows)))
+
+    def side(rows: DataFrame, name: str, flag: str, bits) -> DataFrame:
         return keyed(rows, bits).select("key", F.col("class").alias(name), F.col("tag").alias(flag))
 
     all_places = (1 << PLACES) - 1
@@ -500,12 +503,15 @@ def candidate_pairs(classes: DataFrame, across: bool, nicknames: dict[str, froze
     p_asks, q_asks = (f"shiftright({x}, {ASKS}) = 1" for x in "pq")
 
     if across:
-        left, right = (side(classes.where(F.col("universe") == u), n, f) for u, n, f in ((CLIENT, "a", "p"), (LISTED, "b", "q")))
+        of = lambda rows, u: rows.where(F.col("universe") == u)
+        # Either side answers only what the other one asks.
+        left, right = (side(of(classes, u), n, f, asked_by(of(asking, v))) for u, v, n, f in ((CLIENT, LISTED, "a", "p"), (LISTED, CLIENT, "b", "q")))
         pairs = left.join(right, "key").where(f"({p_asks} OR {q_asks}) AND {agree}")
     else:
         # One condition over both sides, so that no filter makes the shuffles of the two sides different plans.
         met = F.expr(f"CASE WHEN NOT {p_asks} OR NOT {agree} THEN false WHEN NOT {q_asks} THEN a <> b ELSE a < b END")
-        pairs = side(classes, "a", "p").join(side(classes, "b", "q"), "key").where(met).select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        bits = asked_by(asking)
+        pairs = side(classes, "a", "p", bits).join(side(classes, "b", "q", bits), "key").where(met).select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     weight = F.col("key").bitwiseAND(3)
     return pairs.groupBy("a", "b").agg(F.sum(weight).alias("weight")).where(F.col("weight") >= ENOUGH).select("a", "b")
 
