@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions.text import normal_term
@@ -28,6 +28,22 @@ def mined_variants(pairs: DataFrame, a: str, b: str, evidence: str, least: int =
     return words.groupBy("low", "high").agg(F.count("*").alias("occurrences"), F.array_join(F.slice(F.array_sort(F.collect_set("evidence")), 1, kept), ",").alias("evidence")).where(F.col("occurrences") >= least)
 
 
+def mined_variants_by_name(left: DataFrame, right: DataFrame, on: list[str], a: str, b: str, evidence: str, least: int = 2, kept: int = 5) -> DataFrame:
+    """mined_variants of left joined with right, where rows of equal names are counted before they are joined.
+
+    left: a, evidence and the columns `on`; right: b and `on`. Of the evidence of one name the first `kept` suffice for the first `kept` of all.
+    """
+    first = Window.partitionBy(a, *on).orderBy(F.col(evidence).asc_nulls_last())
+    sample = left.select(a, *on, evidence).distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= kept).groupBy(a, *on).agg(F.collect_set(evidence).alias("evidence"))
+    ours = left.groupBy(a, *on).agg(F.count("*").alias("n")).join(sample, [a, *on])
+    theirs = right.groupBy(b, *on).agg(F.count("*").alias("m"))
+    d = single_divergence(normal_term(a), normal_term(b))
+    found = ours.join(theirs, on).select("n", "m", "evidence", d.alias("d")).where("d is not null and d.left <> '' and d.right <> ''")
+    words = found.select(F.least("d.left", "d.right").alias("low"), F.greatest("d.left", "d.right").alias("high"), (F.col("n") * F.col("m")).alias("times"), "evidence")
+    first_of_all = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), 1, kept)
+    return words.groupBy("low", "high").agg(F.sum("times").alias("occurrences"), F.array_join(first_of_all, ",").alias("evidence")).where(F.col("occurrences") >= least)
+
+
 def parsed_name(name: Column) -> Column:
     """struct<family, given>: before and after a comma, else the block of capitals and the rest, else the last word and what precedes it."""
     name = F.trim(F.regexp_replace(name, r"\s+", " "))

@@ -59,7 +59,7 @@ def variant_mining(spark: SparkSession, d: str) -> DataFrame:
     """Words that replace one another in pairs that agree in the first word and the beginning of the last."""
     c = V.clients(spark, d).where("client_type = 'PP'").select("client_id", F.concat_ws(" ", "first_name", "last_name").alias("a"), "first_name", F.substring("last_name", 1, 4).alias("begins"))
     w = V.watchlist(spark, d).select("primary_name", F.substring_index("primary_name", " ", 1).alias("first_name"), F.substring(F.substring_index("primary_name", " ", -1), 1, 4).alias("begins"))
-    return flows.mined_variants(c.join(w, ["first_name", "begins"]), "a", "primary_name", "client_id")
+    return flows.mined_variants_by_name(c, w, ["first_name", "begins"], "a", "primary_name", "client_id")
 
 
 def parsed_names(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.operators import flows as op_flows
 from tamis.operators import screening as S
-from tamis.plans import screening
+from tamis.plans import flows, screening
 from tamis.plans import views as V
 
 
@@ -86,3 +87,18 @@ def test_alerts_are_merged_by_name(spark, few_names):
             want[s, n] += len(ODD)
             top[s, n] = max(top.get((s, n), 0), best)
     assert {(r.status, r.redetections): (r.alerts, r.top) for r in screening.alert_merge(spark, few_names).collect()} == {x: (want[x], top[x]) for x in want}
+
+
+def test_variants_are_mined_by_name(spark, few_names):
+    (r,) = flows.variant_mining(spark, few_names).collect()
+    assert (r.low, r.high, r.occurrences) == ("ALMEIDA", "ALMEIDAX", len(EVEN) * 40000)
+    assert r.evidence == ",".join(sorted("C" + str(k).rjust(7, "0")[:7] for k in EVEN)[:5])
+
+
+def test_variants_by_name_are_those_of_all_pairs(spark):
+    r = random.Random(10)
+    word = lambda: "".join(r.choices("ab", k=2))
+    left = spark.createDataFrame([(f"X {word()}", r.choice([None, f"e{i % 40}"]), "k") for i in range(90)], "a string, e string, k string")
+    right = spark.createDataFrame([(f"X {word()}", "k") for i in range(50)], "b string, k string")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    assert rows(op_flows.mined_variants_by_name(left, right, ["k"], "a", "b", "e")) == rows(op_flows.mined_variants(left.join(right, "k"), "a", "b", "e"))
