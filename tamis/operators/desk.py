@@ -109,14 +109,21 @@ def inherited_risk(edges: DataFrame, designated: DataFrame, threshold: int = 50,
     return found if found is not None else checkpointed(best.limit(0).select("target", F.col("pct").cast("bigint").alias("total_pct"), F.lit(0).alias("level")))
 
 
-def neighbours(edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """(node, depth): what is within `depth` edges of a node, in both directions."""
+def neighbours(edges: DataFrame, start: str, depth: int, circles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(node, depth): what is within `depth` edges of a node, in both directions.
+
+    circles: stakes (target, circle) and members (circle, owner) stand for edges from each target of a circle to each of its members; the step from one side to the other goes by circle.
+    """
     both = edges.select(F.col("target").alias("from"), F.col("owner").alias("to")).unionByName(edges.select(F.col("owner").alias("from"), F.col("target").alias("to"))).distinct()
     reached = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.lit(0).alias("depth"))
     for i in range(1, depth + 1):
         front = reached.where(F.col("depth") == i - 1)
-        step = both.join(front, both["from"] == front["node"]).select(F.col("to").alias("node")).distinct().withColumn("depth", F.lit(i))
-        reached = reached.unionByName(step).groupBy("node").agg(F.min("depth").alias("depth"))
+        step = both.join(front, both["from"] == front["node"]).select(F.col("to").alias("node"))
+        if circles:
+            targets, owners = circles[0].select("circle", F.col("target").alias("node")), circles[1].select("circle", F.col("owner").alias("node"))
+            for this, other in ((targets, owners), (owners, targets)):
+                step = step.unionByName(other.join(this.join(front, "node", "left_semi").select("circle").distinct(), "circle").select("node"))
+        reached = reached.unionByName(step.distinct().withColumn("depth", F.lit(i))).groupBy("node").agg(F.min("depth").alias("depth"))
     return reached
 
 

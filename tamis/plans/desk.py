@@ -117,12 +117,14 @@ def score_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ownership_risk(spark: SparkSession, d: str) -> DataFrame:
-    edges = V.owners(spark, d)
+    edges, stakes, members = V.owners(spark, d)
+    edges = edges.unionByName(stakes.join(members, "circle").select("target", "owner", "pct"))
     return desk.inherited_risk(edges, edges.where(F.col("owner").rlike("^W[0-9]*[05]$")).select("owner"))
 
 
 def ownership_graph(spark: SparkSession, d: str) -> DataFrame:
-    return desk.neighbours(V.owners(spark, d), "C10", 2)
+    edges, stakes, members = V.owners(spark, d)
+    return desk.neighbours(edges, "C10", 2, (stakes, members))
 
 
 def client_fill_rates(spark: SparkSession, d: str) -> DataFrame:

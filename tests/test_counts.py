@@ -8,6 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tamis.operators import desk
 from tamis.operators import flows as op_flows
 from tamis.operators import screening as S
 from tamis.plans import flows, screening
@@ -102,3 +103,22 @@ def test_variants_by_name_are_those_of_all_pairs(spark):
     right = spark.createDataFrame([(f"X {word()}", "k") for i in range(50)], "b string, k string")
     rows = lambda df: sorted(tuple(x) for x in df.collect())
     assert rows(op_flows.mined_variants_by_name(left, right, ["k"], "a", "b", "e")) == rows(op_flows.mined_variants(left.join(right, "k"), "a", "b", "e"))
+
+
+@pytest.fixture(scope="module")
+def owned(spark):
+    """Edges, stakes, members, and all of them as edges."""
+    r = random.Random(11)
+    edges = spark.createDataFrame([(f"c{r.randrange(30)}", f"c{r.randrange(30)}", r.choice([None, 20, 60])) for _ in range(12)], "target string, owner string, pct int")
+    stakes = spark.createDataFrame([(f"c{r.randrange(30)}", r.randrange(6), r.choice([None, 15, 25, 30])) for _ in range(25)], "target string, circle int, pct int")
+    members = spark.createDataFrame([(i % 5, f"w{i}") for i in range(20)], "circle int, owner string")
+    return edges, stakes, members, edges.unionByName(stakes.join(members, "circle").select("target", "owner", "pct"))
+
+
+def test_steps_through_circles(spark, owned):
+    edges, stakes, members, listed = owned
+    for start, depth in (("c1", 1), ("c1", 2), ("w3", 1), ("w3", 3), ("none", 2)):
+        assert set(desk.neighbours(edges, start, depth, (stakes, members)).collect()) == set(desk.neighbours(listed, start, depth).collect())
+    many = spark.range(200_000)
+    stakes, members = many.select(F.concat(F.lit("c"), "id").alias("target"), F.lit(1).alias("circle")), many.select(F.lit(1).alias("circle"), F.concat(F.lit("w"), "id").alias("owner"))
+    assert desk.neighbours(edges, "c7", 1, (stakes, members)).where("node like 'w%'").count() == 200_000
