@@ -89,17 +89,25 @@ def gained_lost(before: DataFrame, after: DataFrame, keys: Sequence[str], by: st
     return both.groupBy(by).agg(F.count_if(F.col("was").isNull()).alias("gained"), F.count_if(F.col("isnow").isNull()).alias("lost"), F.count_if(F.col("was").isNotNull() & F.col("isnow").isNotNull()).alias("kept"))
 
 
-def inherited_risk(edges: DataFrame, designated: DataFrame, threshold: int = 50, depth: int = 6) -> DataFrame:
+def inherited_risk(edges: DataFrame, designated: DataFrame, threshold: int = 50, depth: int = 6, circles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(target, total_pct, level): parties owned to at least `threshold` percent by designated ones, directly, together or through others.
 
     edges: target, owner, pct (null counts as full, as the source asserts it); repeated edges count once with their highest share. designated: owner.
+    circles: stakes (target, circle, pct) and members (circle, owner) stand for edges from each target of a circle to each of its members, which are counted and
+    never listed; an owner is in one circle, and no edge repeats one of them.
     Each level adds targets whose owners designated so far hold enough; it ends when none is added, at most `depth` times. Only ids move.
     """
     best = edges.groupBy("target", "owner").agg(F.max(F.coalesce("pct", F.lit(100))).alias("pct"))
+    stakes = circles[0].groupBy("target", "circle").agg(F.max(F.coalesce("pct", F.lit(100))).alias("pct")) if circles else None
+    members = circles[1].distinct() if circles else None
     known = designated.select("owner").distinct()
     found = None
     for level in range(1, depth + 1):
-        held = best.join(known, "owner", "left_semi").groupBy("target").agg(F.sum("pct").alias("total_pct")).where(F.col("total_pct") >= threshold)
+        shares = best.join(known, "owner", "left_semi").select("target", F.col("pct").cast("bigint").alias("pct"))
+        if circles:
+            inside = members.join(known, "owner", "left_semi").groupBy("circle").agg(F.count("*").alias("n"))
+            shares = shares.unionByName(stakes.join(inside, "circle").select("target", (F.col("pct") * F.col("n")).alias("pct")))
+        held = shares.groupBy("target").agg(F.sum("pct").alias("total_pct")).where(F.col("total_pct") >= threshold)
         new = held.join(known.select(F.col("owner").alias("target")), "target", "left_anti").withColumn("level", F.lit(level))
         new = checkpointed(new)
         if new.isEmpty():

@@ -118,8 +118,8 @@ def score_bands(spark: SparkSession, d: str) -> DataFrame:
 
 def ownership_risk(spark: SparkSession, d: str) -> DataFrame:
     edges, stakes, members = V.owners(spark, d)
-    edges = edges.unionByName(stakes.join(members, "circle").select("target", "owner", "pct"))
-    return desk.inherited_risk(edges, edges.where(F.col("owner").rlike("^W[0-9]*[05]$")).select("owner"))
+    listed = edges.select("owner").unionByName(members.select("owner")).where(F.col("owner").rlike("^W[0-9]*[05]$"))
+    return desk.inherited_risk(edges, listed, circles=(stakes, members))
 
 
 def ownership_graph(spark: SparkSession, d: str) -> DataFrame:

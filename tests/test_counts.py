@@ -122,3 +122,12 @@ def test_steps_through_circles(spark, owned):
     many = spark.range(200_000)
     stakes, members = many.select(F.concat(F.lit("c"), "id").alias("target"), F.lit(1).alias("circle")), many.select(F.lit(1).alias("circle"), F.concat(F.lit("w"), "id").alias("owner"))
     assert desk.neighbours(edges, "c7", 1, (stakes, members)).where("node like 'w%'").count() == 200_000
+
+
+def test_shares_held_through_circles(spark, owned):
+    edges, stakes, members, listed = owned
+    stakes = stakes.groupBy("target", "circle").agg(F.max(F.coalesce("pct", F.lit(100))).alias("pct"))
+    some = members.select("owner").where("owner in ('w0', 'w1', 'w5', 'w6', 'w12')")
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    want = rows(desk.inherited_risk(listed, some))
+    assert len({r[2] for r in want}) > 1 and rows(desk.inherited_risk(edges, some, circles=(stakes, members))) == want
