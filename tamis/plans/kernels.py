@@ -27,13 +27,13 @@ def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def name_similarities(spark: SparkSession, d: str) -> DataFrame:
     """Jaro, Jaro-Winkler and word-sorted similarity of client and listed names that begin alike."""
-    pairs = _name_pairs(spark, d).withColumn("s", similarities(F.col("client_name"), F.col("listed_name")))
+    pairs = _name_pairs(spark, d).withColumn("s", similarities(F.col("client_name"), F.col("listed_name"), ("jaro", "jaro_winkler", "token_sort")))
     return pairs.select("client_name", "listed_name", *(F.round(f"s.{m}", 6).alias(m) for m in ("jaro", "jaro_winkler", "token_sort")))
 
 
 def name_edit_similarities(spark: SparkSession, d: str) -> DataFrame:
     """Edit similarity with swaps, and of word sets, of client and listed names that begin alike."""
-    pairs = _name_pairs(spark, d).withColumn("s", similarities(F.col("client_name"), F.col("listed_name")))
+    pairs = _name_pairs(spark, d).withColumn("s", similarities(F.col("client_name"), F.col("listed_name"), ("edit", "token_set")))
     return pairs.select("client_name", "listed_name", F.round("s.edit", 6).alias("edit"), F.round("s.token_set", 6).alias("token_set"))
 
 
