@@ -18,11 +18,16 @@ def _latin(c: str) -> Column:
 
 
 def _name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """(client_name, listed_name): distinct names of both sides with the same first letters."""
+    """(client_name, listed_name): distinct names of both sides with the same first letters.
+
+    Pairs are many more than names, so the names are spread over a stated number of partitions, which adaptive execution does not merge.
+    """
     ours = table(spark, d, "client_entities").select(_latin("client_last_name").alias("client_name")).where(F.length("client_name") >= HEAD).distinct()
     theirs = table(spark, d, "watchlist_entities").select(_latin("primary_name").alias("listed_name")).where(F.length("listed_name") >= HEAD).distinct()
     head = lambda c: F.substring(c, 1, HEAD).alias("head")
-    return ours.select("*", head("client_name")).join(theirs.select("*", head("listed_name")), "head").drop("head")
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ours, theirs = ours.select("*", head("client_name")).repartition(parts, "head"), theirs.select("*", head("listed_name")).repartition(parts, "head")
+    return ours.join(theirs, "head").drop("head")
 
 
 def name_similarities(spark: SparkSession, d: str) -> DataFrame:

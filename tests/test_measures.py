@@ -4,6 +4,7 @@ import random
 
 from tamis.functions import similarity
 from tamis.functions.similarity import edit_distance, similarities
+from tamis.plans import kernels
 from test_engine import slow_distance
 
 
@@ -21,3 +22,8 @@ def test_distance_by_bits():
             a, b = ("".join(r.choices("abcd", k=r.randrange(most))) for _ in "xy")
             assert edit_distance(a, b) == slow_distance(a, b)
     assert similarity._bit_distance("ab", "ba") == 1 and similarity._bit_distance("ca", "abc") == 3
+
+
+def test_name_pairs_are_spread(spark, data):
+    """Names are few and their pairs many: adaptive execution must not put all of them into one task."""
+    assert kernels._name_pairs(spark, data).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
