@@ -1,9 +1,10 @@
 """Candidate pairs are only those whose words may be spellings of one."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.llm.parties import PARTY, alike, candidate_pairs, party_classes
+from tamis.llm.parties import ASKS, FILTER_BITS, GRAM_COUNTERS, HEAVY, PARTY, Keys, Spans, alike, candidate_pairs, mixed, party_classes
 from tamis.llm.spelling import shape_mask, sound
 
 
@@ -36,3 +37,29 @@ def test_middle_words_and_blanks(spark):
 def test_alike(spark, a, b, expected):
     row = spark.createDataFrame([(a and sound(a), sound(b))], "p string, q string")
     assert row.select(F.expr(alike("p", "q")) & F.expr(alike("q", "p"))).first()[0] is expected
+
+
+def test_codes_are_listed_once():
+    """However many dates and countries a person has; mixed in arrays, the keys are those that `mixed` gives."""
+    make, names, places, world = Keys(np.zeros(GRAM_COUNTERS, np.int64), set()), ["polina barvolenko", "polina ana garvolenko"], ["BG", "RS", "UA", "MD"], 12345678901
+    for dates in ([], ["19800000", "19810000"], ["19800102", "19910304"]):
+        few, many = Spans(), Spans()
+        make.person(names, dates[:1], places[:1], few)
+        many.party = (7, world, 5)
+        make.person(names, dates, places, many)
+        assert len(few.codes) == len(many.codes) > 0
+        wanted = sorted((((mixed(first, many.codes[at]) ^ world) << 2) | HEAVY, asks, many.beside[at]) for first, begin, size, asks, *_ in many.spans for at in range(begin, begin + size))
+        keys, rows, tags, beside = many.mixed(np.full(FILTER_BITS // 8, 255, np.uint8))
+        assert sorted(zip(keys.tolist(), (tags >> ASKS == 1).tolist(), beside.tolist())) == wanted and set(rows.tolist()) == {7} and set((tags & 31).tolist()) == {5}
+        asking = [k for k, asks, _ in wanted if asks]
+        assert sorted(many.mixed(None)[0].tolist()) == sorted(many.mixed(np.zeros(FILTER_BITS // 8, np.uint8))[0].tolist()) == asking and 0 < len(asking) < len(wanted)
+
+
+def test_letter_pairs_are_made_by_word():
+    sound.cache_clear()
+    words = [[f"{begin}{end}" for begin in ("khrosto", "schalba", "tchirou", "wezzo", "quick")] for end in ("vin", "lloc")]
+    masks = {f"{x} {y}": shape_mask(f"{x} {y}") for x in words[0] for y in words[1]}
+    assert sound.cache_info().misses <= 10 and shape_mask("tchirouvin wezzolloc") == shape_mask("wezolok chiruvin")
+    assert all((m & shape_mask(x)) == shape_mask(x) for name, m in masks.items() for x in name.split())
+    assert shape_mask("x") == shape_mask("ks") != shape_mask("a b") == 1 << 97 | 1 << 98
+    assert [sound(x) for x in ("schwarzkopf", "tchaikhovsky", "mcckhee", "queeck", "xylophone")] == ["shvarskopf", "kaikovski", "mki", "kik", "ksilofone"]
