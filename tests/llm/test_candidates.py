@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamis.llm.parties import ASKS, FILTER_BITS, GRAM_COUNTERS, HEAVY, PARTY, Keys, Spans, alike, candidate_pairs, mixed, party_classes
+from tamis.llm.parties import ASKS, FILTER_BITS, GRAM_COUNTERS, HEAVY, PARTY, Keys, Spans, alike, asked_keys, candidate_pairs, mixed, party_classes
 from tamis.llm.spelling import shape_mask, sound
+from tamis.session import CLEANUP, checkpointed
 
 
 def met(spark, people, across):
@@ -63,3 +64,28 @@ def test_letter_pairs_are_made_by_word():
     assert all((m & shape_mask(x)) == shape_mask(x) for name, m in masks.items() for x in name.split())
     assert shape_mask("x") == shape_mask("ks") != shape_mask("a b") == 1 << 97 | 1 << 98
     assert [sound(x) for x in ("schwarzkopf", "tchaikhovsky", "mcckhee", "queeck", "xylophone")] == ["shvarskopf", "kaikovski", "mki", "kik", "ksilofone"]
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_a_checkpoint_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP)
+    counted = checkpointed(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not shuffle_files(spark) - before and spark.conf.get(CLEANUP) == setting and counted.count() == 7
+
+
+def test_pairs_do_not_wait_for_the_shuffle_of_their_keys(spark):
+    """Whoever joins the pairs further holds no files of the keys any more."""
+    rows = [(ref, u, "P", ["polina barvolenko"], [f"{shape_mask('polina barvolenko'):x}"], ["19800102"], ["BG"], []) for ref, u in (("a", "C"), ("b", "L"))]
+    pairs = candidate_pairs(party_classes(spark.createDataFrame(rows, f"ref string, {PARTY}"))[0], True)
+    before = shuffle_files(spark)
+    assert len(pairs.collect()) == 1 and not shuffle_files(spark) - before
+
+
+def test_the_filter_uses_all_its_bits(spark):
+    """Keys carry their weight in the lowest bits, so these must not choose the bit."""
+    bits = asked_keys(spark.range(40).select((F.col("id") * 4 + HEAVY).alias("key")))
+    assert set(np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist()) == set(range(40))
